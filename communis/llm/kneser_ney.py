@@ -7,51 +7,74 @@ hashes with the log weight of the next lower level. A level of one column is sha
 
 from __future__ import annotations
 
-from collections import Counter
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import per_batch
+from .words import encode_words
 
 PAD = " "
 #: Odd multiplier of the polynomial hash modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 
 
-def words_of(text: str | None) -> list[str]:
-    return text.lower().split() if text else []
+def positions(words, order: int):
+    """Code points (plus 1) of padded words, the places of predicted characters, and how many each word has."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    pad = PAD * (order - 1)
+    one = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string()))
+    joined = pad + pc.binary_join(one, pad)[0].as_py() + pad
+    cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    each = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    ends = np.cumsum(each)
+    start = np.cumsum(each + order - 2) - each + 1  # of each word in cp
+    at = np.arange(ends[-1]) - np.repeat(ends - each, each) + np.repeat(start, each)
+    return cp, at, each
+
+
+def rolling(cp, order: int) -> list:
+    """Hashes of the last 1, 2, ... characters at each place: the older a character, the higher its power."""
+    import numpy as np
+
+    first = cp.astype(np.uint64) + np.uint64(1)
+    out = [first]
+    for _ in range(1, order):
+        h = first.copy()
+        h[1:] += out[-1][:-1] * np.uint64(BASE)
+        out.append(h)
+    return out
 
 
-def _counter(order_of: dict, default: int, limit: int = 200_000):
+def _counter(order_of: dict, default: int):
     """Batches (cls string, text) to (cls, gram, n): n-grams of order order_of[cls], or `default`."""
-    held: dict[str, Counter] = {}
 
-    def flush():
-        cls, gram, n = [], [], []
-        for c, words in held.items():
+    def step(batch):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        out: dict[str, list] = {"cls": [], "gram": [], "n": []}
+        cls, text = batch.column("cls"), batch.column("text")
+        for c in pc.unique(cls).drop_null().to_pylist():
             order = order_of.get(c, default)
-            grams: dict[str, int] = {}
-            for w, k in words.items():
-                s = PAD * (order - 1) + w + PAD
-                for i in range(len(w) + 1):
-                    g = s[i : i + order]
-                    grams[g] = grams.get(g, 0) + k
-            cls += [c] * len(grams)
-            gram += grams.keys()
-            n += grams.values()
-        held.clear()
-        return {"cls": cls, "gram": gram, "n": n} if n else None
+            for words, codes, _ in encode_words(text.filter(pc.equal(cls, c))):
+                if not len(words):
+                    continue
+                times = np.bincount(codes, minlength=len(words))
+                for lo in range(0, len(words), 300_000):
+                    cp, at, each = positions(words[lo : lo + 300_000], order)
+                    h = rolling(cp, order)[-1][at]
+                    _, first, group = np.unique(h, return_index=True, return_inverse=True)
+                    n = np.bincount(group, weights=np.repeat(times[lo : lo + 300_000], each)).astype(np.int64)
+                    chars = np.ascontiguousarray(cp[at[first][:, None] + np.arange(1 - order, 1)])
+                    out["cls"] += [c] * len(n)
+                    out["gram"] += chars.view(f"U{order}").ravel().tolist()
+                    out["n"] += n.tolist()
+        return {"cls": pa.array(out["cls"], pa.string()), "gram": out["gram"], "n": out["n"]} if out["n"] else None
 
-    def step(batch):
-        for c, text in zip(batch.column("cls").to_pylist(), batch.column("text").to_pylist()):
-            if c is not None and text:
-                if c not in held:
-                    held[c] = Counter()
-                held[c].update(words_of(text))
-        return flush() if sum(map(len, held.values())) > limit else None
-
-    step.rest = flush
     return step
 
 
@@ -87,17 +110,29 @@ class CharModel:
         return max([self.unseen.shape[0], *(x[1].shape[1] for x in self.levels)])
 
     def log_prob(self, grams: list, contexts: list):
-        """grams[k], contexts[k]: hashes of the last k+1 characters, of the k before the last; rows by class out."""
+        """grams[k], contexts[k]: hashes of the last k+1 characters, of the k before the last; rows by class out.
+
+        From the highest level down: a gram found there is settled, the others gather the weight of their context."""
         import numpy as np
 
-        p = np.repeat(self.unseen[None, :], len(grams[0]), axis=0)
-        for k, (hashes, logp, heads, weights) in enumerate(self.levels):
-            if k and len(heads):
-                at = np.minimum(np.searchsorted(heads, contexts[k]), len(heads) - 1)
-                p = p + np.where((heads[at] == contexts[k])[:, None], weights[at], 0)
-            if len(hashes):
-                at = np.minimum(np.searchsorted(hashes, grams[k]), len(hashes) - 1)
-                p = np.where((hashes[at] == grams[k])[:, None], logp[at], p)
+        width = self.columns()
+        p = np.zeros((len(grams[0]), width))
+        left = np.arange(len(grams[0]))
+        for k in range(len(self.levels) - 1, -1, -1):
+            hashes, logp, heads, weights = self.levels[k]
+            if not len(left) or not len(hashes):
+                continue
+            here = grams[k][left]
+            at = np.minimum(np.searchsorted(hashes, here), len(hashes) - 1)
+            hit = hashes[at] == here
+            p[left[hit]] += logp[at[hit]]
+            left = left[~hit]
+            if k and len(left):
+                here = contexts[k][left]
+                at = np.minimum(np.searchsorted(heads, here), len(heads) - 1)
+                known = heads[at] == here
+                p[left[known]] += weights[at[known]]
+        p[left] += self.unseen
         return p
 
     def of_matrix(self, matrix):
@@ -105,39 +140,34 @@ class CharModel:
         m = matrix.shape[1]
         return self.log_prob([hash_of(matrix[:, m - k :]) for k in range(1, m + 1)], [hash_of(matrix[:, m - k : m - 1]) for k in range(1, m + 1)])
 
-    def score_words(self, words: list[str]):
-        """Sums of log-probabilities, a row for each word (its characters and one pad); float64."""
+    def score_words(self, words):
+        """Sums of log-probabilities of an Arrow array of words, a row for each (its characters and one pad)."""
         import numpy as np
 
-        n, out = self.order, []
-        size, part, parts = 0, [], []
-        for w in words:
-            part.append(w)
-            size += len(w) + n
-            if size > 150_000:
-                parts.append(part)
-                part, size = [], 0
-        for some in [*parts, part]:
-            if not some:
-                continue
-            s = PAD * (n - 1) + (PAD * (n - 1)).join(some) + PAD * (n - 1)
-            cp = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-            lengths = np.fromiter(map(len, some), np.int64, len(some))
-            start = np.cumsum(lengths + n - 1) - lengths  # of each word
-            each = lengths + 1
+        out = []
+        for lo in range(0, len(words), 40_000):
+            cp, at, each = positions(words[lo : lo + 40_000], self.order)
+            h = rolling(cp, self.order)
+            p = self.log_prob([x[at] for x in h], [None] + [x[at - 1] for x in h[:-1]])
             ends = np.cumsum(each)
-            at = np.arange(ends[-1]) - np.repeat(ends - each, each) + np.repeat(start, each)
-            rolling = [cp]
-            for _ in range(1, n):  # one more character before the same last one: the older ones have the higher powers
-                h = cp.copy()
-                h[1:] += rolling[-1][:-1] * np.uint64(BASE)
-                rolling.append(h)
-            grams = [r[at] for r in rolling]
-            contexts = [None] + [r[at - 1] for r in rolling[:-1]]
-            p = self.log_prob(grams, contexts)
             out.append(np.add.reduceat(p, ends - each, axis=0))
         return np.concatenate(out) if out else np.zeros((0, self.columns()))
 
+    def score_texts(self, texts):
+        """For each string of an Arrow array: its words' rows of scores, in order, and its number of characters and
+        pads. Distinct words are scored once a part."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        for words, codes, ends in encode_words(texts):
+            rows = self.score_words(words)
+            sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False) + 1 if len(words) else np.zeros(0, np.int64)
+            begin = 0
+            for end in ends:
+                own = codes[begin:end]
+                yield rows[own], int(sizes[own].sum())
+                begin = end
+
 
 def _group(h):
     """Sorted unique hashes, first row and group of each row."""
@@ -197,45 +227,6 @@ def add_level(model: CharModel, matrix, counts) -> CharModel:
     return model
 
 
-class WordScores:
-    """Scores of words by a model, kept by word for the texts of one task."""
-
-    def __init__(self, model: CharModel, limit: int = 200_000) -> None:
-        self.model, self.limit = model, limit
-        self.clear()
-
-    def clear(self) -> None:
-        import numpy as np
-
-        self.row: dict[str, int] = {}
-        self.rows = np.zeros((0, self.model.columns()))
-
-    def of_texts(self, texts):
-        """Yields for each text: its words' rows of scores, in order. Long lists of texts are taken in parts."""
-        import numpy as np
-
-        part, size = [], 0
-        for text in texts:
-            part.append(words_of(text))
-            size += len(part[-1])
-            if size > 400_000:
-                yield from self._part(part)
-                part, size = [], 0
-        yield from self._part(part)
-
-    def _part(self, lists):
-        import numpy as np
-
-        if len(self.row) > self.limit:
-            self.clear()
-        new = list(set().union(*lists).difference(self.row)) if lists else []
-        if new:
-            self.row.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
-            self.rows = np.concatenate([self.rows, self.model.score_words(new)])
-        for words in lists:
-            yield words, self.rows[np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))]
-
-
 def collect_counts(tables, df: DataFrame, order_of: dict, default: int, most: int):
     """Counts (cls, gram, n) as pandas, at most the `most` most frequent of each class: the bound on a model's size, far
     above what the test tables have; grams beyond it are scored by the levels below."""

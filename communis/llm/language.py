@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Tables, bucket_of, per_batch, table
-from .kneser_ney import WordScores, collect_counts, fit, gram_matrix
+from .kneser_ney import collect_counts, fit, gram_matrix
 
 ORDER, MOST_GRAMS = 4, 1_000_000
 #: Spreads above the mean beyond which a text is like none of the languages.
@@ -23,25 +23,23 @@ class Identifier:
     """(language, score, rejected) of texts."""
 
     def __init__(self, model, names: list[str], usual: dict) -> None:
-        self.names, self.words = names, WordScores(model) if model is not None else None
-        self.usual = usual
+        self.names, self.model, self.usual = names, model, usual
 
     def entropies(self, texts):
         """Cross-entropy in nats a character, a row for each text; None for texts without letters."""
-        texts = [x if x is not None else "" for x in texts]
-        for text, (words, rows) in zip(texts, self.words.of_texts(texts)):
-            if not any(map(str.isalpha, text)):
-                yield None
-            else:
-                yield -rows.sum(axis=0) / (sum(map(len, words)) + len(words))
+        import pyarrow.compute as pc
+
+        lettered = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_pylist()
+        for has, (rows, size) in zip(lettered, self.model.score_texts(texts)):
+            yield -rows.sum(axis=0) / size if has and size else None
 
     def __call__(self, texts):
         import numpy as np
 
-        if self.words is None:
+        if self.model is None:
             return [("und", 0.0, True)] * len(texts)
         out = []
-        for text, h in zip(texts, self.entropies(texts)):
+        for text, h in zip(texts.to_pylist(), self.entropies(texts)):
             if h is None:
                 out.append(("und", 0.0, True))
                 continue
@@ -70,7 +68,7 @@ def train(tables: Tables, docs: DataFrame, order: int = ORDER, most: int = MOST_
         who = Identifier(model, names, {})
 
         def step(batch):
-            rows = [(c, float(h[column[c]])) for c, h in zip(batch.column("lang").to_pylist(), who.entropies(batch.column("text").to_pylist())) if h is not None and c in column]
+            rows = [(c, float(h[column[c]])) for c, h in zip(batch.column("lang").to_pylist(), who.entropies(batch.column("text"))) if h is not None and c in column]
             return {"lang": [c for c, _ in rows], "h": [h for _, h in rows]} if rows else None
 
         return step
@@ -85,7 +83,7 @@ def _predicted(model, names, usual):
     who = Identifier(model, names, usual)
 
     def step(batch):
-        found = who(batch.column("text").to_pylist())
+        found = who(batch.column("text"))
         return {"doc_id": batch.column("doc_id").cast("int64"), "lang_pred": [x for x, _, _ in found], "score": [x for _, x, _ in found], "rejected": [x for _, _, x in found]}
 
     return step

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Tables, components, per_batch, table
+from .words import encode_words
 
 #: Generator polynomial of the perfect [23,12] code (fixed value).
 GENERATOR = 0b101011100011
@@ -60,47 +61,132 @@ def fingerprint64(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * votes > len(hashes)).view(">u8")[0])
 
 
+#: XXH64's five primes (fixed values).
+P1, P2, P3, P4, P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+
+
+def xxh64(data: bytes, start, length, seed: int = 42):
+    """XXH64 of many slices of `data` at once; slices of 32 bytes or more go one by one through the library."""
+    import numpy as np
+    import xxhash
+
+    u = np.uint64
+
+    def rotl(x, r):
+        return (x << u(r)) | (x >> u(64 - r))
+
+    padded = np.frombuffer(data + bytes(8), np.uint8)
+    eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    h = u((seed + P5) % 2**64) + length.astype(u)
+    at, left = start.copy(), length.copy()
+    for _ in range(3):
+        i = np.flatnonzero((left >= 8) & (length < 32))
+        if not len(i):
+            break
+        k = rotl(eight[at[i]] * u(P2), 31) * u(P1)
+        h[i] = rotl(h[i] ^ k, 27) * u(P1) + u(P4)
+        at[i] += 8
+        left[i] -= 8
+    i = np.flatnonzero((left >= 4) & (length < 32))
+    h[i] = rotl(h[i] ^ ((eight[at[i]] & u(0xFFFFFFFF)) * u(P1)), 23) * u(P2) + u(P3)
+    at[i] += 4
+    left[i] -= 4
+    for _ in range(3):
+        i = np.flatnonzero((left > 0) & (length < 32))
+        h[i] = rotl(h[i] ^ (padded[at[i]].astype(u) * u(P5)), 11) * u(P1)
+        at[i] += 1
+        left[i] -= 1
+    h = (h ^ (h >> u(33))) * u(P2)
+    h = (h ^ (h >> u(29))) * u(P3)
+    h ^= h >> u(32)
+    for i in np.flatnonzero(length >= 32):
+        h[i] = xxhash.xxh64_intdigest(data[start[i] : start[i] + length[i]], seed)
+    return h
+
+
+def majority(hashes, sizes):
+    """For consecutive groups of hashes: the bits set in over half of the group, as one number; 0 for no hashes."""
+    import numpy as np
+
+    out, full = np.zeros(len(sizes), np.uint64), np.flatnonzero(sizes)
+    if not len(full):
+        return out
+    sizes = sizes[full]
+    begins = np.cumsum(sizes) - sizes
+    blocks = (sizes + 254) // 255  # of at most 255 hashes, whose counts fit a byte
+    starts = np.repeat(begins - 255 * (np.cumsum(blocks) - blocks), blocks) + 255 * np.arange(blocks.sum())
+    first = np.cumsum(blocks) - blocks
+    for shift in range(8):
+        lanes = np.add.reduceat((hashes >> np.uint64(shift)) & np.uint64(0x0101010101010101), starts)
+        counts = np.add.reduceat(lanes.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64), first, axis=0)
+        bits = (2 * counts > sizes[:, None]).astype(np.uint64)
+        out[full] |= (bits << (np.arange(8, dtype=np.uint64) * np.uint64(8))).sum(axis=1, dtype=np.uint64) << np.uint64(shift)
+    return out
+
+
+def fingerprints64(texts: list, width: int = 3):
+    """fingerprint64 of many texts at once, in parts of about 16 MB."""
+    import numpy as np
+
+    out, at = [], 0
+    while at < len(texts):
+        part, size = [], 0
+        while at < len(texts) and (not part or size < 16 << 20):
+            part.append(b" ".join((texts[at] or "").encode("utf-8").lower().split()))
+            size += len(part[-1]) + 1
+            at += 1
+        data = b"\n".join(part) + b"\n"
+        raw = np.frombuffer(data, np.uint8)
+        ends = np.flatnonzero((raw == 32) | (raw == 10))  # of words, and of texts without words
+        closes = np.flatnonzero(raw[ends] == 10)
+        words = np.diff(np.r_[-1, closes])
+        words[np.fromiter(map(len, part), np.int64, len(part)) == 0] = 0
+        begin = np.r_[0, ends[:-1] + 1]
+        head = np.r_[0, closes[:-1] + 1]  # each text's first word
+        n = np.where(words >= width, words - width + 1, (words > 0).astype(np.int64))
+        i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(head, n)
+        last = i + np.repeat(np.minimum(words, width), n) - 1
+        out.append(majority(xxh64(data, begin[i], ends[last] - begin[i]), n))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def _fingerprints():
     def step(batch):
         import numpy as np
 
-        prints = [fingerprint64(x) for x in batch.column("text").to_pylist()]
-        return {"doc_id": batch.column("doc_id").cast("int64"), "node": np.array(prints, np.uint64).view(np.int64)}
+        return {"doc_id": batch.column("doc_id").cast("int64"), "node": fingerprints64(batch.column("text").to_pylist()).view(np.int64)}
 
     return step
 
 
-def lanes_of_words(words: set[bytes], lanes: int, cache: dict):
-    """Majority bits of a set of words over lanes of 46 bits."""
+def word_lanes(texts, lanes: int):
+    """Majority bits over the set of lower-case words of each string of an Arrow array, in lanes of 46 bits."""
     import numpy as np
-    import xxhash
-
-    if not words:
-        return [0] * lanes
-    rows = []
-    for w in words:
-        row = cache.get(w)
-        if row is None:
-            raw = b"".join(xxhash.xxh64_digest(w, 1000 + i) for i in range(lanes))
-            row = cache[w] = np.unpackbits(np.frombuffer(raw, np.uint8)).astype(np.int8) * 2 - 1
-        rows.append(row)
-    total = np.zeros(64 * lanes, np.int64)
-    for at in range(0, len(rows), 4096):
-        total += np.sum(rows[at : at + 4096], axis=0, dtype=np.int64)
-    bits = (total > 0).reshape(lanes, 64)[:, :46]
-    return [int(x) for x in bits @ (1 << np.arange(46, dtype=np.int64))]
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    out = [[] for _ in range(lanes)]
+    for words, codes, ends in encode_words(texts):
+        length = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        one = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string()))
+        hashes = xxh64(pc.binary_join(one, "")[0].as_py().encode("utf-8"), np.cumsum(length) - length, length)
+        text = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
+        once = np.unique((text << 32) | codes)
+        sizes = np.bincount(once >> 32, minlength=len(ends))
+        once = hashes[once & 0xFFFFFFFF]
+        for i in range(lanes):
+            out[i].append(majority(once, sizes) & np.uint64((1 << 46) - 1))
+            once = (once ^ (once >> np.uint64(31))) * np.uint64(P2)  # the next lane's hashes
+            once = (once ^ (once >> np.uint64(29))) * np.uint64(P3)
+            once ^= once >> np.uint64(32)
+    return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
 
 
 def _word_lanes(lanes: int):
-    cache: dict = {}
-
     def step(batch):
-        found = []
-        for text in batch.column("text").to_pylist():
-            found.append(lanes_of_words(set((text or "").encode("utf-8").lower().split()), lanes, cache))
-            if len(cache) > 150_000:
-                cache.clear()
-        return {"node": batch.column("node")} | {f"f{i}": [x[i] for x in found] for i in range(lanes)}
+        import numpy as np
+
+        return {"node": batch.column("node")} | {f"f{i}": x.view(np.int64) for i, x in enumerate(word_lanes(batch.column("text"), lanes))}
 
     return step
 
@@ -247,6 +333,7 @@ def links(prints: DataFrame, names: list[str], radius: int, block: int = BLOCK)
     if radius > 5 * len(names) - 1:
         raise ValueError(f"the anchors guarantee {5 * len(names) - 1} bits at most")
     schema = "anchor long, node long, " + ", ".join(f"{c} long" for c in names)
+    prints = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
     rows = per_batch(prints, ["node", *names], schema, _replicate, names)
     hot = per_batch(prints, ["node", *names], schema, _replicate, names).groupBy("anchor").count().where(F.col("count") > block)
     hot = hot.select("anchor", F.ceil(F.col("count") / block).cast("int").alias("blocks"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Tables, bucket_of, per_batch, table
-from .kneser_ney import WordScores, add_level, collect_counts, fit, gram_matrix
+from .kneser_ney import add_level, collect_counts, fit, gram_matrix
 
 SHARED_ORDER, MOST_GRAMS = 4, 2_000_000
 #: At most so many labelled documents of each class are used to fit the classifier, those of least hash.
@@ -50,15 +50,15 @@ class Scorer:
     """Probability that a text is toxic, from its words alone."""
 
     def __init__(self, model, weights) -> None:
-        self.words, self.weights = (WordScores(model), weights) if model is not None else (None, weights)
+        self.model, self.weights = model, weights
 
     def features_of(self, texts):
-        return [features(rows[:, 1] - rows[:, 0]) for _, rows in self.words.of_texts(texts)]
+        return [features(rows[:, 1] - rows[:, 0]) for rows, _ in self.model.score_texts(texts)]
 
     def __call__(self, texts):
         import numpy as np
 
-        if self.words is None:
+        if self.model is None:
             return [0.0] * len(texts)
         x = np.array(self.features_of(texts)).reshape(len(texts), 3)
         return (1 / (1 + np.exp(-(x @ self.weights[:3] + self.weights[3]).clip(-30, 30)))).tolist()
@@ -86,7 +86,7 @@ def train(tables: Tables, docs: DataFrame, labels: DataFrame, per_class: int = P
         scorer = Scorer(model, None)
 
         def step(batch):
-            x = scorer.features_of(batch.column("text").to_pylist())
+            x = scorer.features_of(batch.column("text"))
             return {"toxic": batch.column("toxic"), "x": x, "fold": batch.column("fold").cast("int32")}
 
         return step
@@ -102,7 +102,7 @@ def _scored(model, weights, names):
     scorer = Scorer(model, weights)
 
     def step(batch):
-        scores = scorer(batch.column("text").to_pylist())
+        scores = scorer(batch.column("text"))
         return {c: batch.column(c) for c in names} | {"score": scores}
 
     return step
@@ -134,7 +134,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshol
             import numpy as np
             import pyarrow as pa
 
-            keep = pa.array(np.array(scorer(batch.column("text").to_pylist())) < threshold)
+            keep = pa.array(np.array(scorer(batch.column("text"))) < threshold)
             return pa.Table.from_batches([batch]).filter(keep).to_pydict() if batch.num_rows else None
 
         return step
