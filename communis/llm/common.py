@@ -20,7 +20,7 @@ def arrow_schema(schema: T.StructType):
 
 def per_batch(df: DataFrame, columns: list[str], schema: str, make, *args) -> DataFrame:
     """mapInArrow over `columns`; make(*args) runs once a task and gives a function from a record batch to a dict of
-    columns (or None); if it has a method `rest`, that gives the last dict."""
+    columns, an Arrow table or None; if it has a method `rest`, that gives the last of them."""
     made = T._parse_datatype_string(schema)
 
     def run(batches):
@@ -28,14 +28,19 @@ def per_batch(df: DataFrame, columns: list[str], schema: str, make, *args) -> Da
 
         arrow = arrow_schema(made)
         step = make(*args)
+
+        def rows(out):
+            if out is None:
+                return ()
+            whole = out.cast(arrow) if isinstance(out, pa.Table) else pa.Table.from_pydict(out, schema=arrow)
+            return whole.to_batches(max_chunksize=20_000)
+
         for batch in batches:
-            out = step(batch)
-            if out is not None:
-                yield from pa.Table.from_pydict(out, schema=arrow).to_batches(max_chunksize=50_000)
-        rest = getattr(step, "rest", None)
-        out = rest() if rest else None
-        if out is not None:
-            yield from pa.Table.from_pydict(out, schema=arrow).to_batches(max_chunksize=50_000)
+            yield from rows(step(batch))
+        if hasattr(step, "rest"):
+            yield from rows(step.rest())
+        del step
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return df.select(*columns).mapInArrow(run, made)
 

@@ -201,7 +201,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width
             keep = [True] * batch.num_rows
             for i in items.suspects(batch.column("text")):
                 keep[i] = not items.leaks(batch.column("text")[i].as_py(), radius, least)
-            return pa.Table.from_batches([batch]).filter(pa.array(keep, pa.bool_())).to_pydict()
+            return pa.Table.from_batches([batch]).filter(pa.array(keep, pa.bool_()))
 
         return step
 

@@ -64,11 +64,11 @@ def _counter(order_of: dict, default: int):
                 if not len(words):
                     continue
                 times = np.bincount(codes, minlength=len(words))
-                for lo in range(0, len(words), 300_000):
-                    cp, at, each = positions(words[lo : lo + 300_000], order)
+                for lo in range(0, len(words), 60_000):
+                    cp, at, each = positions(words[lo : lo + 60_000], order)
                     h = rolling(cp, order)[-1][at]
                     _, first, group = np.unique(h, return_index=True, return_inverse=True)
-                    n = np.bincount(group, weights=np.repeat(times[lo : lo + 300_000], each)).astype(np.int64)
+                    n = np.bincount(group, weights=np.repeat(times[lo : lo + 60_000], each)).astype(np.int64)
                     chars = np.ascontiguousarray(cp[at[first][:, None] + np.arange(1 - order, 1)])
                     out["cls"] += [c] * len(n)
                     out["gram"] += chars.view(f"U{order}").ravel().tolist()
@@ -88,7 +88,7 @@ def gram_matrix(grams, order: int):
     """Code points, one row a gram."""
     import numpy as np
 
-    return np.array(list(grams), dtype=f"U{order}").view(np.uint32).reshape(len(grams), order) if len(grams) else np.zeros((0, order), np.uint32)
+    return np.array(grams, dtype=f"U{order}").view(np.uint32).reshape(len(grams), order) if len(grams) else np.zeros((0, order), np.uint32)
 
 
 def hash_of(matrix):
@@ -228,9 +228,13 @@ def add_level(model: CharModel, matrix, counts) -> CharModel:
 
 
 def collect_counts(tables, df: DataFrame, order_of: dict, default: int, most: int):
-    """Counts (cls, gram, n) as pandas, at most the `most` most frequent of each class: the bound on a model's size, far
+    """(grams, classes, counts by gram and class), at most the `most` most frequent of each class: the bound on a model's size, far
     above what the test tables have; grams beyond it are scored by the levels below."""
-    return _at_most(tables.put(count_grams(df, order_of, default)), most).toPandas()
+    counts = _at_most(tables.put(count_grams(df, order_of, default)), most)
+    names = sorted(r["cls"] for r in counts.select("cls").distinct().collect())
+    wide = counts.groupBy("gram").agg(*[F.sum(F.when(F.col("cls") == c, F.col("n"))).alias(f"c{i}") for i, c in enumerate(names)]) if names else counts
+    found = wide.toPandas()
+    return found.gram, names, found[[f"c{i}" for i in range(len(names))]].fillna(0).to_numpy(float)
 
 
 def _at_most(counts: DataFrame, most: int) -> DataFrame:

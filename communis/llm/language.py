@@ -56,12 +56,10 @@ class Identifier:
 def train(tables: Tables, docs: DataFrame, order: int = ORDER, most: int = MOST_GRAMS):
     """(model, languages, usual entropies) of docs (text, lang); nulls are left out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = collect_counts(tables, known.select(F.col("lang").alias("cls"), "text"), {}, order, most)
-    if not len(counts):
+    grams, names, counts = collect_counts(tables, known.select(F.col("lang").alias("cls"), "text"), {}, order, most)
+    if not names:
         return None, [], {}
-    wide = counts.pivot(index="gram", columns="cls", values="n").fillna(0)
-    names = list(wide.columns)
-    model = fit(gram_matrix(wide.index, order), wide.to_numpy(float))
+    model = fit(gram_matrix(grams, order), counts)
     column = {c: i for i, c in enumerate(names)}
 
     def measure():

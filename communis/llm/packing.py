@@ -34,7 +34,7 @@ class Encoder:
     Words of letters, with a full stop or comma after them or not, go to the tokenizer's model directly, in the form
     that its normaliser and pre-tokenizer give them; all others take the whole way."""
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 150_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -90,7 +90,7 @@ class Encoder:
         import pyarrow.compute as pc
 
         special = pc.any(pc.match_substring(texts, "<|")).as_py()  # special tokens are told by their case
-        for words, codes, ends in encode_words(texts, split="ascii", lower="" if special else "ascii", most=16 << 20):
+        for words, codes, ends in encode_words(texts, split="ascii", lower="" if special else "ascii", most=8 << 20):
             ids, done = expand(codes, ends, self.lists(words.to_pylist()))
             begin = 0
             for end in done:

@@ -125,13 +125,13 @@ def majority(hashes, sizes):
 
 
 def fingerprints64(texts: list, width: int = 3):
-    """fingerprint64 of many texts at once, in parts of about 16 MB."""
+    """fingerprint64 of many texts at once, in parts of about 4 MB."""
     import numpy as np
 
     out, at = [], 0
     while at < len(texts):
         part, size = [], 0
-        while at < len(texts) and (not part or size < 16 << 20):
+        while at < len(texts) and (not part or size < 4 << 20):
             part.append(b" ".join((texts[at] or "").encode("utf-8").lower().split()))
             size += len(part[-1]) + 1
             at += 1

@@ -74,13 +74,12 @@ def train(tables: Tables, docs: DataFrame, labels: DataFrame, per_class: int = P
     fold = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3)).alias("fold")
     sample = tables.put(docs.join(chosen, "doc_id").select("doc_id", "text", "toxic", fold))
     top = SHARED_ORDER + 1
-    counts = collect_counts(tables, sample.where("fold > 0").select(F.col("toxic").cast("string").alias("cls"), "text"), {}, top, MOST_GRAMS)
-    if counts.cls.nunique() < 2:
+    grams, classes, counts = collect_counts(tables, sample.where("fold > 0").select(F.col("toxic").cast("string").alias("cls"), "text"), {}, top, MOST_GRAMS)
+    if len(classes) < 2:
         return None, None
-    shared = collect_counts(tables, docs.select(F.lit("all").alias("cls"), "text"), {}, SHARED_ORDER, MOST_GRAMS)
-    model = fit(gram_matrix(shared.gram, SHARED_ORDER), shared.n.to_numpy(float)[:, None])
-    wide = counts.pivot(index="gram", columns="cls", values="n").fillna(0)
-    add_level(model, gram_matrix(wide.index, top), wide[["0", "1"]].to_numpy(float))
+    every, _, shared = collect_counts(tables, docs.select(F.lit("all").alias("cls"), "text"), {}, SHARED_ORDER, MOST_GRAMS)
+    model = fit(gram_matrix(every, SHARED_ORDER), shared)
+    add_level(model, gram_matrix(grams, top), counts)  # classes are "0" and "1", in this order
 
     def measure():
         scorer = Scorer(model, None)
@@ -135,7 +134,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshol
             import pyarrow as pa
 
             keep = pa.array(np.array(scorer(batch.column("text"))) < threshold)
-            return pa.Table.from_batches([batch]).filter(keep).to_pydict() if batch.num_rows else None
+            return pa.Table.from_batches([batch]).filter(keep) if batch.num_rows else None
 
         return step
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-def encode_words(texts, split: str = "utf8", lower: str = "utf8", most: int = 32 << 20):
+def encode_words(texts, split: str = "utf8", lower: str = "utf8", most: int = 8 << 20):
     """Parts of an Arrow array of strings: for each, (dictionary of its distinct words, codes of its words in order, and
     where each text's words end). A part holds about `most` bytes of text, or one longer text.
 
