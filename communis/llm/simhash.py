@@ -324,7 +324,7 @@ def _compare(names: list[str], radius: int):
     return step
 
 
-def links(prints: DataFrame, names: list[str], radius: int, block: int = BLOCK) -> DataFrame:
+def links(tables: Tables, prints: DataFrame, names: list[str], radius: int, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between nodes whose fingerprints differ in at most `radius` bits, up to a forest of each component.
 
     prints: one row a node (node long; a long for each lane in `names`). radius: at most 4 for one lane, else at most
@@ -336,7 +336,8 @@ def links(prints: DataFrame, names: list[str], radius: int, block: int = BLOCK)
     prints = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
     rows = per_batch(prints, ["node", *names], schema, _replicate, names)
     hot = per_batch(prints, ["node", *names], schema, _replicate, names).groupBy("anchor").count().where(F.col("count") > block)
-    hot = hot.select("anchor", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    # At most one in `block` rows names a hot anchor; written, its size is known, and Spark broadcasts it only if small.
+    hot = tables.put(hot.select("anchor", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     cells = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
@@ -357,7 +358,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = 3) -> Da
     tables = Tables(spark, "simhash")
     rows = tables.put(per_batch(docs, ["doc_id", "text"], "doc_id long, node long", _fingerprints))
     nodes = tables.put(rows.groupBy("node").agg(F.min("doc_id").alias("first")))
-    edges = tables.put(links(nodes.select("node", F.col("node").alias("f0")), ["f0"], radius))
+    edges = tables.put(links(tables, nodes.select("node", F.col("node").alias("f0")), ["f0"], radius))
     roots = components(tables, edges)
     member = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = member.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -399,7 +400,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, w
     # Classes with equal fingerprints are linked in a chain over a sample point: the least node of that fingerprint.
     least = prints.groupBy(*names).agg(F.min("node").alias("top"))
     same = prints.join(least, names).where("node <> top").select(F.col("top").alias("a"), F.col("node").alias("b"))
-    near = links(least.select(F.col("top").alias("node"), *names), names, radius)
+    near = links(tables, least.select(F.col("top").alias("node"), *names), names, radius)
     edges = tables.put(near.union(same))
     ends = edges.select(F.col("a").alias("__node")).union(edges.select("b")).distinct()
     texts = tables.put(keyed.select("__node", text.alias("text")).join(ends, "__node", "left_semi").dropDuplicates(["__node"]))
