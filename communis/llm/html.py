@@ -225,7 +225,7 @@ def render(html: str | None) -> str:
                 flow.end_line(kept=True)
             flow.blank = True
         elif tag in BLOCK:
-            flow.end_line()
+            flow.end_line(kept=pre > 0 and any(flow.now))
             flow.blank |= tag in SPACED and not (tag in ("ul", "ol") and len(lists) > 1)
         if tag == "pre":
             pre -= 1

@@ -123,7 +123,7 @@ def normalised(text: str):
 
 
 def disguised_spans(text: str, base: list[tuple]) -> list[tuple]:
-    """Spans that only the normalised text shows, as source spans that touch a disguise and no base span of their kind."""
+    """Spans that only the normalised text shows, as source spans that touch a disguise and lie in no base span of their kind."""
     odd = not text.isascii() and re.search(r"[^\x00-\xff]|[²³¹]", text) is not None
     if not odd and not HINT.search(text) and not RUN.search(text):
         return []
@@ -135,7 +135,7 @@ def disguised_spans(text: str, base: list[tuple]) -> list[tuple]:
     for kind, s, e in base_spans(plain):
         if any(starts[i] in marks for i in range(s, e)):
             a, b = starts[s], ends[e - 1]
-            if not any(a < y and x < b for x, y in taken[kind]):
+            if not any(x <= a and b <= y for x, y in taken[kind]):
                 out.append((kind, a, b))
     return out
 
