@@ -382,40 +382,84 @@ def _jaccard(width: int):
     return step
 
 
+#: Words of 64 bits in a filter of nodes: 4 MB, whatever the number of nodes.
+FILTER_WORDS = 1 << 19
+
+
+def node_filter(nodes: DataFrame, words: int = FILTER_WORDS):
+    """A Bloom filter of the nodes (node long), three bits each, as an array of fixed size; executors set the bits and
+    the driver gets words, at most `words` of them. A full filter lets more rows through, never fewer."""
+    import numpy as np
+
+    bit = lambda i: F.pmod(F.xxhash64("node", F.lit(i)), F.lit(words * 64))
+    bits = nodes.select(F.explode(F.array(bit(1), bit(2), bit(3))).alias("b"))
+    set_ = bits.groupBy(F.shiftright("b", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 63 AS INT))")).alias("v"))
+    found = set_.toPandas()
+    out = np.zeros(words, np.int64)
+    out[found.w.to_numpy(np.int64)] = found.v.to_numpy(np.int64)
+    return out
+
+
+def _passing(held, words: int, wanted: bool):
+    def step(batch):
+        import numpy as np
+        import pyarrow as pa
+
+        keep = np.ones(batch.num_rows, bool)
+        for i in (1, 2, 3):
+            b = batch.column(f"__b{i}").to_numpy(zero_copy_only=False)
+            keep &= (held[b >> 6] >> (b & 63)) & 1 == 1
+        return pa.Table.from_batches([batch]).filter(pa.array(keep == wanted)).drop_columns(["__b1", "__b2", "__b3"])
+
+    return step
+
+
+def passing(df: DataFrame, held, wanted: bool = True) -> DataFrame:
+    """Rows of df (__node and others) whose node the filter may have; with wanted=False, those it surely hasn't."""
+    words = len(held)
+    rows = df.withColumns({f"__b{i}": F.pmod(F.xxhash64("__node", F.lit(i)), F.lit(words * 64)) for i in (1, 2, 3)})
+    return per_batch(rows, rows.columns, df._jdf.schema().toDDL(), _passing, held, words, wanted)
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, width: int = 5, lanes: int = 2, radius: int = 9) -> DataFrame:
     """docs without near copies: of each group the row with the smallest doc_id stays, with all its columns.
 
     Texts are classed by content first, so copies never meet pairwise. Classes whose word-set fingerprints (lanes of 46
     bits) differ in at most `radius` bits are candidates; candidate links count if the texts' sets of `width`-word
     shingles have Jaccard similarity of at least `similarity`. Null text counts as empty. Repeated rows are copies.
-    Columns and their order are kept.
+    Columns and their order are kept. Only rows of classes that have links or copies are joined; a filter of fixed size
+    lets the others stay where they are.
     """
     tables = Tables(spark, "dedup")
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumn("__node", F.xxhash64(text))
     rows = tables.put(keyed.select("doc_id", F.col("__node").alias("node")).groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n")))
-    prints = per_batch(keyed.select(F.col("__node").alias("node"), text.alias("text")), ["node", "text"], "node long, " + ", ".join(f"f{i} long" for i in range(lanes)), _word_lanes, lanes)
     names = [f"f{i}" for i in range(lanes)]
+    prints = per_batch(keyed.select(F.col("__node").alias("node"), text.alias("text")), ["node", "text"], "node long, " + ", ".join(f"{c} long" for c in names), _word_lanes, lanes)
     prints = tables.put(prints.groupBy("node").agg(*[F.min(c).alias(c) for c in names]))
-    # Classes with equal fingerprints are linked in a chain over a sample point: the least node of that fingerprint.
+    # Classes of equal fingerprints are held against the least of them, which stands for all in the search.
     least = prints.groupBy(*names).agg(F.min("node").alias("top"))
     same = prints.join(least, names).where("node <> top").select(F.col("top").alias("a"), F.col("node").alias("b"))
     near = links(tables, least.select(F.col("top").alias("node"), *names), names, radius)
     edges = tables.put(near.union(same))
-    ends = edges.select(F.col("a").alias("__node")).union(edges.select("b")).distinct()
-    texts = tables.put(keyed.select("__node", text.alias("text")).join(ends, "__node", "left_semi").dropDuplicates(["__node"]))
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    some = passing(keyed.select("__node", text.alias("text")), node_filter(ends))
+    texts = tables.put(some.join(ends.withColumnRenamed("node", "__node"), "__node", "left_semi").dropDuplicates(["__node"]))
     held = edges.join(texts.select(F.col("__node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("__node").alias("b"), F.col("text").alias("y")), "b")
     sure = per_batch(held, ["a", "b", "x", "y"], "a long, b long, similarity double", _jaccard, width).where(F.col("similarity") >= similarity)
     roots = components(tables, sure.select("a", "b"))
     grouped = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id"), F.col("node"))
-    stay = grouped.groupBy("root").agg(F.min(order).alias("one")).select(F.col("one.doc_id").alias("__id"), F.col("one.node").alias("__stay"))
-    kept = keyed.join(stay, (F.col("__node") == F.col("__stay")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    many = tables.put(rows.where("n > 1").select(F.col("doc_id").alias("__mid"), F.col("node").alias("__mnode")))
-    repeated = (F.col("__node") == F.col("__mnode")) & F.col("doc_id").eqNullSafe(F.col("__mid"))
-    once = kept.join(many, repeated, "left_anti")
-    again = kept.join(many, repeated, "left_semi").dropDuplicates(["__node", "doc_id"])
-    return once.unionByName(again).select(*docs.columns)
+    stay = grouped.groupBy("root").agg(F.min(order).alias("one"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("kinds"))
+    stay = tables.put(stay.select(F.col("one.doc_id").alias("__id"), F.col("one.node").alias("__stay"), "root", "size", "kinds").where("size > 1"))
+    touched = rows.where("n > 1").select("node").union(grouped.join(stay.select("root"), "root", "left_semi").select("node")).distinct()
+    held_nodes = node_filter(touched)
+    alone = passing(keyed, held_nodes, wanted=False).select(*docs.columns)
+    mixed = passing(keyed, held_nodes)
+    unlinked = mixed.join(touched.select(F.col("node").alias("__node")), "__node", "left_anti").select(*docs.columns)
+    kept = mixed.join(stay, (F.col("__node") == F.col("__stay")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    once = kept.dropDuplicates(["__node", "doc_id"]).select(*docs.columns)
+    return alone.unionByName(unlinked).unionByName(once)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
