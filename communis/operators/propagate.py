@@ -104,7 +104,7 @@ def _step(tables, labels: DataFrame, keep: DataFrame, new: DataFrame) -> DataFra
 def _one_by_one(graph: Graph, labels: DataFrame, tie: str, seed: int, turn: int) -> DataFrame:
     """One asynchronous round in a single task: nodes in a repeatable pseudo-random order, each seeing all votes before
     it. Sequential by nature, so the whole graph must fit a task; the batched form has no such bound."""
-    rows = labels.join(graph.edges.groupBy("src").agg(F.collect_list("dst").alias("to")), F.col("id") == F.col("src"), "left").select("id", "label", "to", F.xxhash64("id", F.lit(seed), F.lit(turn)).alias("order"))
+    rows = labels.join(graph.edges.groupBy("src").agg(F.collect_list("dst").alias("to")), F.col("id") == F.col("src"), "left").select("id", "label", "to", F.xxhash64("id", F.lit(seed), F.lit(turn)).alias("order"), F.lit(0).alias("all"))
 
     def run(pdf):
         from collections import Counter
@@ -121,4 +121,4 @@ def _one_by_one(graph: Graph, labels: DataFrame, tie: str, seed: int, turn: int)
         pdf["label"] = pdf["id"].map(now)
         return pdf[["id", "label"]]
 
-    return rows.groupBy(F.lit(0)).applyInPandas(run, "id long, label long")
+    return rows.groupBy("all").applyInPandas(run, "id long, label long")
