@@ -26,6 +26,7 @@ from .words import encode_words
 GENERATOR = 0b101011100011
 REACH = 2  # bits beyond the covering radius
 BLOCK = 4096
+ACROSS_BLOCK = 1024  # of the search that reports every link
 
 
 def codewords():
@@ -191,8 +192,8 @@ def _word_lanes(lanes: int):
     return step
 
 
-def _replicate(names: list[str]):
-    """Rows (anchor, node, lanes): anchor = lane, first codeword's number, second's, in one long."""
+def _replicate(names: list[str], others: list[str]):
+    """Rows (anchor, node, lanes, others): anchor = lane, first codeword's number, second's, in one long."""
     import numpy as np
 
     code = codewords()
@@ -222,7 +223,8 @@ def _replicate(names: list[str]):
                 rows.append(ra[left] + at)
         rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         out = {"anchor": np.concatenate(anchors) if anchors else np.zeros(0, np.int64), "node": nodes[rows]}
-        return out | {c: x[rows].view(np.int64) for c, x in zip(names, prints)}
+        out |= {c: x[rows].view(np.int64) for c, x in zip(names, prints)}
+        return out | {c: batch.column(c).to_numpy(zero_copy_only=False)[rows] for c in others}
 
     return step
 
@@ -252,8 +254,9 @@ class _Forest:
         return True
 
 
-def _compare(names: list[str], radius: int):
-    """Rows come sorted by (cell, node): links of each cell within `radius` bits in all lanes together."""
+def _compare(names: list[str], radius: int, label: str | None):
+    """Rows come sorted by (cell, node): links of each cell within `radius` bits in all lanes together. Without a label
+    they are a forest; with one they are all the links between nodes of different labels."""
     import numpy as np
 
     small = 48
@@ -277,7 +280,16 @@ def _compare(names: list[str], radius: int):
                     left = left[~hit]
         return links
 
-    def links_of(cell, nodes, prints):
+    def across(nodes, prints, labels):
+        links = []
+        if np.any(labels != labels[0]):
+            for i in range(len(nodes) - 1):
+                j = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
+                j = j[near(prints, i, j)]
+                links.append(np.stack([np.full(len(j), nodes[i]), nodes[j]], axis=1))
+        return links
+
+    def links_of(cell, nodes, prints, labels):
         if not len(cell):
             return []
         starts = np.flatnonzero(np.r_[True, np.any(cell[1:] != cell[:-1], axis=1)])
@@ -294,17 +306,30 @@ def _compare(names: list[str], radius: int):
                 break
             a, b = idx[i], idx[i + shift]
             hit = near(prints, a, b)
+            if label:
+                hit &= labels[a] != labels[b]
             found.append(np.stack([nodes[a[hit]], nodes[b[hit]]], axis=1))
+        if label:
+            for s, n in zip(starts[sizes > small], sizes[sizes > small]):
+                found += across(nodes[s : s + n], [x[s : s + n] for x in prints], labels[s : s + n])
+            return np.unique(np.concatenate(found), axis=0) if found else []
         pairs = np.unique(np.concatenate(found), axis=0).tolist() if found else []
         for s, n in zip(starts[sizes > small], sizes[sizes > small]):
             pairs += large(nodes[s : s + n], [x[s : s + n] for x in prints])
         return [(a, b) for a, b in pairs if a != b and forest.joins(a, b)]
 
     def out(links):
-        return {"a": [x for x, _ in links], "b": [x for _, x in links]} if links else None
+        if not len(links):
+            return None
+        links = np.asarray(links, np.int64)
+        return {"a": links[:, 0], "b": links[:, 1]}
+
+    def split(columns):
+        lanes = [x.view(np.uint64) for x in columns[4 : 4 + len(names)]]
+        return columns[3], lanes, columns[-1] if label else None
 
     def step(batch):
-        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "i", "j", "node", *names)]
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "i", "j", "node", *names, *([label] if label else []))]
         if kept:
             columns = [np.concatenate(x) for x in zip(kept[0], columns)]
             kept.clear()
@@ -312,39 +337,44 @@ def _compare(names: list[str], radius: int):
         last = np.flatnonzero(np.any(cell != cell[-1], axis=1))
         cut = last[-1] + 1 if len(last) else 0
         kept.append([x[cut:] for x in columns])
-        return out(links_of(cell[:cut], columns[3][:cut], [x[:cut].view(np.uint64) for x in columns[4:]]))
+        return out(links_of(cell[:cut], *split([x[:cut] for x in columns])))
 
     def rest():
         if not kept:
             return None
         columns = kept[0]
-        return out(links_of(np.stack(columns[:3], axis=1), columns[3], [x.view(np.uint64) for x in columns[4:]]))
+        return out(links_of(np.stack(columns[:3], axis=1), *split(columns)))
 
     step.rest = rest
     return step
 
 
-def links(tables: Tables, prints: DataFrame, names: list[str], radius: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between nodes whose fingerprints differ in at most `radius` bits, up to a forest of each component.
+def links(tables: Tables, prints: DataFrame, names: list[str], radius: int, block: int = BLOCK, label: str | None = None) -> DataFrame:
+    """Links (a, b) between nodes whose fingerprints differ in at most `radius` bits, up to a forest of each component;
+    or, with a label, all of those whose labels differ.
 
-    prints: one row a node (node long; a long for each lane in `names`). radius: at most 4 for one lane, else at most
-    5 * lanes - 1.
+    prints: one row a node (node long; a long for each lane in `names`; the label, a long). radius: at most 4 for one
+    lane, else at most 5 * lanes - 1. Hot anchors with only one label are left out.
     """
     if radius > 5 * len(names) - 1:
         raise ValueError(f"the anchors guarantee {5 * len(names) - 1} bits at most")
-    schema = "anchor long, node long, " + ", ".join(f"{c} long" for c in names)
+    others = [label] if label else []
+    carried = ["node", *names, *others]
+    schema = "anchor long, " + ", ".join(f"{c} long" for c in carried)
     prints = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
-    rows = per_batch(prints, ["node", *names], schema, _replicate, names)
-    hot = per_batch(prints, ["node", *names], schema, _replicate, names).groupBy("anchor").count().where(F.col("count") > block)
+    rows = per_batch(prints, carried, schema, _replicate, names, others)
+    kinds = (F.min(label) == F.max(label)) if label else F.lit(False)
+    hot = per_batch(prints, carried, schema, _replicate, names, others).groupBy("anchor").agg(F.count(F.lit(1)).alias("count"), kinds.alias("one")).where(F.col("count") > block)
     # At most one in `block` rows names a hot anchor; written, its size is known, and Spark broadcasts it only if small.
-    hot = tables.put(hot.select("anchor", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+    hot = tables.put(hot.select("anchor", F.when(F.col("one"), 0).otherwise(F.ceil(F.col("count") / block)).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     cells = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
     )
-    dealt = rows.join(hot, "anchor", "left").select("anchor", "node", *names, F.inline(cells))
+    rows = rows.join(hot, "anchor", "left").where(F.col("blocks").isNull() | (F.col("blocks") > 0))
+    dealt = rows.select("anchor", *carried, F.inline(cells))
     dealt = dealt.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "node")
-    found = per_batch(dealt, ["anchor", "i", "j", "node", *names], "a long, b long", _compare, names, radius)
+    found = per_batch(dealt, ["anchor", "i", "j", *carried], "a long, b long", _compare, names, radius, label)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -426,7 +456,9 @@ def deduplicate(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, w
 
     Texts are classed by content first, so copies never meet pairwise. Classes whose word-set fingerprints (lanes of 46
     bits) differ in at most `radius` bits are candidates; candidate links count if the texts' sets of `width`-word
-    shingles have Jaccard similarity of at least `similarity`. Null text counts as empty. Repeated rows are copies.
+    shingles have Jaccard similarity of at least `similarity`. The first search reports a forest of candidates; where a
+    part of it holds several proven groups, a second one tests every candidate pair between them, so no candidate is
+    lost and pairs within a group of copies aren't expanded. Null text counts as empty. Repeated rows are copies.
     Columns and their order are kept. Only rows of classes that have links or copies are joined; a filter of fixed size
     lets the others stay where they are.
     """
@@ -445,9 +477,21 @@ def deduplicate(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, w
     ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     some = passing(keyed.select("__node", text.alias("text")), node_filter(ends))
     texts = tables.put(some.join(ends.withColumnRenamed("node", "__node"), "__node", "left_semi").dropDuplicates(["__node"]))
-    held = edges.join(texts.select(F.col("__node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("__node").alias("b"), F.col("text").alias("y")), "b")
-    sure = per_batch(held, ["a", "b", "x", "y"], "a long, b long, similarity double", _jaccard, width).where(F.col("similarity") >= similarity)
-    roots = components(tables, sure.select("a", "b"))
+
+    def proven(pairs):
+        held = pairs.join(texts.select(F.col("__node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("__node").alias("b"), F.col("text").alias("y")), "b")
+        return tables.put(per_batch(held, ["a", "b", "x", "y"], "a long, b long, similarity double", _jaccard, width).where(F.col("similarity") >= similarity).select("a", "b"))
+
+    sure = proven(edges)
+    roots = components(tables, sure)
+    # A forest of candidates may miss a similar pair where one of its links isn't similar: there, all links across count.
+    part = components(tables, edges).withColumnRenamed("root", "part")
+    named = ends.join(part, "node", "left").join(roots, "node", "left").select("node", F.coalesce("part", "node").alias("part"), F.coalesce("root", "node").alias("label"))
+    open_ = named.groupBy("part").agg((F.min("label") < F.max("label")).alias("open")).where("open")
+    unsettled = tables.put(prints.join(named.join(open_, "part", "left_semi").select("node", "label"), "node"))
+    if not unsettled.isEmpty():
+        more = links(tables, unsettled, names, radius, ACROSS_BLOCK, "label").join(edges, ["a", "b"], "left_anti")
+        roots = components(tables, sure.union(proven(more)))
     grouped = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id"), F.col("node"))
     stay = grouped.groupBy("root").agg(F.min(order).alias("one"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("kinds"))

@@ -287,3 +287,16 @@ def test_urls(spark):
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(cases)], "page_id long, url string, host string")
     found = {r["page_id"]: tuple(r)[1:] for r in urls.judge(spark, df).collect()}
     assert list(found[i] for i in range(len(cases))) == list(cases.values())
+
+
+def test_dedup_loses_no_candidate_to_a_forest(spark):
+    """Texts of the same words in other orders have equal fingerprints, but are copies only of their own order."""
+    r = random.Random(11)
+    words, rows = [f"w{i}" for i in range(80)], []
+    for family in range(9):
+        order = r.sample(words, 80)
+        for copy in range(2):
+            rows.append((10 * family + copy, " ".join(order)))
+            order[-1], order[-2] = order[-2], order[-1]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in simhash.deduplicate(spark, docs).collect()) == [10 * i for i in range(9)]
