@@ -229,6 +229,38 @@ def _replicate(names: list[str], others: list[str]):
     return step
 
 
+def _crowded(names: list[str], share: int):
+    """Rows (anchor, n): the anchors that at least `share` fingerprints of this partition reach, and how many do."""
+    import numpy as np
+
+    replicate = _replicate(names, [])
+    seen = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+
+    def step(batch):
+        anchors, n = np.unique(replicate(batch)["anchor"], return_counts=True)
+        every, at = np.unique(np.r_[seen[0], anchors], return_inverse=True)
+        seen[:] = every, np.bincount(at, np.r_[seen[1], n], len(every)).astype(np.int64)
+
+    def rest():
+        keep = seen[1] >= share
+        return {"anchor": seen[0][keep], "n": seen[1][keep]}
+
+    step.rest = rest
+    return step
+
+
+def _hot_anchors(prints: DataFrame, names: list[str], block: int, parts: int) -> DataFrame:
+    """Rows (anchor, count): every anchor of more than `block` fingerprints, with at least its count.
+
+    In some of the `parts` partitions such an anchor has a share of block / parts or more, so partitions name only
+    anchors that reach the share; what the others may hold is added to the sum.
+    """
+    share = -(-block // parts)
+    local = per_batch(prints, ["node", *names], "anchor long, n long", _crowded, names, share)
+    most = F.sum("n") + (parts - F.count(F.lit(1))) * (share - 1)
+    return local.groupBy("anchor").agg(most.alias("count")).where(F.col("count") > block)
+
+
 class _Forest:
     """Union-find that says whether a link is new; it forgets all when large, which only repeats links."""
 
@@ -361,10 +393,14 @@ def links(tables: Tables, prints: DataFrame, names: list[str], radius: int, bloc
     others = [label] if label else []
     carried = ["node", *names, *others]
     schema = "anchor long, " + ", ".join(f"{c} long" for c in carried)
-    prints = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prints = prints.repartition(parts, "node")
     rows = per_batch(prints, carried, schema, _replicate, names, others)
-    kinds = (F.min(label) == F.max(label)) if label else F.lit(False)
-    hot = per_batch(prints, carried, schema, _replicate, names, others).groupBy("anchor").agg(F.count(F.lit(1)).alias("count"), kinds.alias("one")).where(F.col("count") > block)
+    if label:
+        kinds = F.min(label) == F.max(label)
+        hot = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("count"), kinds.alias("one")).where(F.col("count") > block)
+    else:
+        hot = _hot_anchors(prints, names, block, parts).withColumn("one", F.lit(False))
     # At most one in `block` rows names a hot anchor; written, its size is known, and Spark broadcasts it only if small.
     hot = tables.put(hot.select("anchor", F.when(F.col("one"), 0).otherwise(F.ceil(F.col("count") / block)).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -412,6 +448,69 @@ def _jaccard(width: int):
     return step
 
 
+#: Bins of a text's sketch, a byte each.
+BINS = 256
+
+
+def shingle_bins(texts, width: int, bins: int = BINS):
+    """For each string of an Arrow array: how many distinct shingles of `width` words it has, and how many of them fall
+    into each bin of their hash, at most 255 a bin."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    sizes, rows = [], []
+    for words, codes, ends in encode_words(texts, "ascii", "ascii"):
+        length = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        one = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string()))
+        hashes = np.r_[xxh64(pc.binary_join(one, "")[0].as_py().encode("utf-8"), np.cumsum(length) - length, length)[codes], np.uint64(0)]
+        begins = np.r_[0, ends[:-1]]
+        n = np.maximum(ends - begins - width + 1, 1)
+        text = np.repeat(np.arange(len(ends)), n)
+        first = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + begins[text]
+        shingle = np.zeros(len(first), np.uint64)
+        for k in range(width):
+            at = first + k
+            shingle = shingle * np.uint64(P1) + hashes[np.where(at < ends[text], at, len(codes))]
+        shingle = (shingle ^ (shingle >> np.uint64(32))) * np.uint64(P2)
+        order = np.lexsort((shingle, text))
+        text, shingle = text[order], shingle[order]
+        new = np.r_[True, (text[1:] != text[:-1]) | (shingle[1:] != shingle[:-1])]
+        text, shingle = text[new], shingle[new]
+        sizes.append(np.bincount(text, minlength=len(ends)))
+        own = np.bincount(text * bins + ((shingle >> np.uint64(40)) % np.uint64(bins)).astype(np.int64), minlength=len(ends) * bins)
+        rows.append(np.minimum(own, 255).astype(np.uint8).reshape(-1, bins))
+    return (np.concatenate(sizes), np.concatenate(rows)) if sizes else (np.zeros(0, np.int64), np.zeros((0, bins), np.uint8))
+
+
+def _sketched(width: int):
+    def step(batch):
+        size, bins = shingle_bins(batch.column("text"), width)
+        return {"node": batch.column("node"), "text": batch.column("text"), "size": size, "bins": [x.tobytes() for x in bins]}
+
+    return step
+
+
+def _may_be_similar(similarity: float):
+    """Keeps pairs whose sketches allow the similarity. Sets with counts c and d in their bins differ in at least
+    sum |c - d| members, as counts cut at 255 differ no more than whole ones; with n members in both and a difference of
+    d, the Jaccard similarity is (n - d) / (n + d)."""
+    import numpy as np
+
+    def stacked(column):
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1).astype(np.int16)
+
+    def step(batch):
+        if not batch.num_rows:
+            return None
+        p, q = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("p", "q"))
+        differ = np.maximum(np.abs(stacked(batch.column("c")) - stacked(batch.column("d"))).sum(axis=1, dtype=np.int64), np.abs(p - q))
+        keep = p + q - differ >= similarity * (p + q + differ) - 1e-6
+        return {"a": batch.column("a").to_numpy(zero_copy_only=False)[keep], "b": batch.column("b").to_numpy(zero_copy_only=False)[keep]}
+
+    return step
+
+
 #: Words of 64 bits in a filter of nodes: 4 MB, whatever the number of nodes.
 FILTER_WORDS = 1 << 19
 
@@ -458,7 +557,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, w
     bits) differ in at most `radius` bits are candidates; candidate links count if the texts' sets of `width`-word
     shingles have Jaccard similarity of at least `similarity`. The first search reports a forest of candidates; where a
     part of it holds several proven groups, a second one tests every candidate pair between them, so no candidate is
-    lost and pairs within a group of copies aren't expanded. Null text counts as empty. Repeated rows are copies.
+    lost and pairs within a group of copies aren't expanded. Texts move only for pairs whose sketches (counts of
+    shingles by bins) don't rule the similarity out. Null text counts as empty. Repeated rows are copies.
     Columns and their order are kept. Only rows of classes that have links or copies are joined; a filter of fixed size
     lets the others stay where they are.
     """
@@ -476,10 +576,16 @@ def deduplicate(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, w
     edges = tables.put(near.union(same))
     ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     some = passing(keyed.select("__node", text.alias("text")), node_filter(ends))
-    texts = tables.put(some.join(ends.withColumnRenamed("node", "__node"), "__node", "left_semi").dropDuplicates(["__node"]))
+    texts = some.join(ends.withColumnRenamed("node", "__node"), "__node", "left_semi").dropDuplicates(["__node"]).withColumnRenamed("__node", "node")
+    texts = tables.put(per_batch(texts, ["node", "text"], "node long, text string, size long, bins binary", _sketched, width))
+
+    def side(end, **named):
+        return texts.select(F.col("node").alias(end), *[F.col(c).alias(x) for c, x in named.items()])
 
     def proven(pairs):
-        held = pairs.join(texts.select(F.col("__node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("__node").alias("b"), F.col("text").alias("y")), "b")
+        sketches = pairs.join(side("a", size="p", bins="c"), "a").join(side("b", size="q", bins="d"), "b")
+        likely = tables.put(per_batch(sketches, ["a", "b", "p", "q", "c", "d"], "a long, b long", _may_be_similar, similarity))
+        held = likely.join(side("a", text="x"), "a").join(side("b", text="y"), "b")
         return tables.put(per_batch(held, ["a", "b", "x", "y"], "a long, b long, similarity double", _jaccard, width).where(F.col("similarity") >= similarity).select("a", "b"))
 
     sure = proven(edges)
