@@ -18,6 +18,20 @@ def arrow_schema(schema: T.StructType):
     return to_arrow_schema(schema)
 
 
+def free_memory() -> None:
+    """Gives what a task has freed back to the system, as Python workers live on beside those of the next stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def per_batch(df: DataFrame, columns: list[str], schema: str, make, *args) -> DataFrame:
     """mapInArrow over `columns`; make(*args) runs once a task and gives a function from a record batch to a dict of
     columns, an Arrow table or None; if it has a method `rest`, that gives the last of them."""
@@ -35,12 +49,13 @@ def per_batch(df: DataFrame, columns: list[str], schema: str, make, *args) -> Da
             whole = out.cast(arrow) if isinstance(out, pa.Table) else pa.Table.from_pydict(out, schema=arrow)
             return whole.to_batches(max_chunksize=20_000)
 
+        batch = None
         for batch in batches:
             yield from rows(step(batch))
         if hasattr(step, "rest"):
             yield from rows(step.rest())
-        del step
-        pa.default_memory_pool().release_unused()  # the worker lives on
+        del step, batch
+        free_memory()
 
     return df.select(*columns).mapInArrow(run, made)
 
