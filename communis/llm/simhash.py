@@ -26,7 +26,6 @@ from .words import encode_words
 GENERATOR = 0b101011100011
 REACH = 2  # bits beyond the covering radius
 BLOCK = 4096
-ACROSS_BLOCK = 1024  # of the search that reports every link
 
 
 def codewords():
@@ -192,8 +191,8 @@ def _word_lanes(lanes: int):
     return step
 
 
-def _replicate(names: list[str], others: list[str]):
-    """Rows (anchor, node, lanes, others): anchor = lane, first codeword's number, second's, in one long."""
+def _replicate(names: list[str]):
+    """Rows (anchor, node, lanes): anchor = lane, first codeword's number, second's, in one long."""
     import numpy as np
 
     code = codewords()
@@ -223,8 +222,7 @@ def _replicate(names: list[str], others: list[str]):
                 rows.append(ra[left] + at)
         rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         out = {"anchor": np.concatenate(anchors) if anchors else np.zeros(0, np.int64), "node": nodes[rows]}
-        out |= {c: x[rows].view(np.int64) for c, x in zip(names, prints)}
-        return out | {c: batch.column(c).to_numpy(zero_copy_only=False)[rows] for c in others}
+        return out | {c: x[rows].view(np.int64) for c, x in zip(names, prints)}
 
     return step
 
@@ -233,7 +231,7 @@ def _crowded(names: list[str], share: int):
     """Rows (anchor, n): the anchors that at least `share` fingerprints of this partition reach, and how many do."""
     import numpy as np
 
-    replicate = _replicate(names, [])
+    replicate = _replicate(names)
     seen = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
 
     def step(batch):
@@ -286,9 +284,8 @@ class _Forest:
         return True
 
 
-def _compare(names: list[str], radius: int, label: str | None):
-    """Rows come sorted by (cell, node): links of each cell within `radius` bits in all lanes together. Without a label
-    they are a forest; with one they are all the links between nodes of different labels."""
+def _compare(names: list[str], radius: int):
+    """Rows come sorted by (cell, node): a forest of the links of each cell within `radius` bits in all lanes together."""
     import numpy as np
 
     small = 48
@@ -312,16 +309,7 @@ def _compare(names: list[str], radius: int, label: str | None):
                     left = left[~hit]
         return links
 
-    def across(nodes, prints, labels):
-        links = []
-        if np.any(labels != labels[0]):
-            for i in range(len(nodes) - 1):
-                j = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
-                j = j[near(prints, i, j)]
-                links.append(np.stack([np.full(len(j), nodes[i]), nodes[j]], axis=1))
-        return links
-
-    def links_of(cell, nodes, prints, labels):
+    def links_of(cell, nodes, prints):
         if not len(cell):
             return []
         starts = np.flatnonzero(np.r_[True, np.any(cell[1:] != cell[:-1], axis=1)])
@@ -338,13 +326,7 @@ def _compare(names: list[str], radius: int, label: str | None):
                 break
             a, b = idx[i], idx[i + shift]
             hit = near(prints, a, b)
-            if label:
-                hit &= labels[a] != labels[b]
             found.append(np.stack([nodes[a[hit]], nodes[b[hit]]], axis=1))
-        if label:
-            for s, n in zip(starts[sizes > small], sizes[sizes > small]):
-                found += across(nodes[s : s + n], [x[s : s + n] for x in prints], labels[s : s + n])
-            return np.unique(np.concatenate(found), axis=0) if found else []
         pairs = np.unique(np.concatenate(found), axis=0).tolist() if found else []
         for s, n in zip(starts[sizes > small], sizes[sizes > small]):
             pairs += large(nodes[s : s + n], [x[s : s + n] for x in prints])
@@ -358,10 +340,10 @@ def _compare(names: list[str], radius: int, label: str | None):
 
     def split(columns):
         lanes = [x.view(np.uint64) for x in columns[4 : 4 + len(names)]]
-        return columns[3], lanes, columns[-1] if label else None
+        return columns[3], lanes
 
     def step(batch):
-        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "i", "j", "node", *names, *([label] if label else []))]
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "i", "j", "node", *names)]
         if kept:
             columns = [np.concatenate(x) for x in zip(kept[0], columns)]
             kept.clear()
@@ -381,36 +363,31 @@ def _compare(names: list[str], radius: int, label: str | None):
     return step
 
 
-def links(tables: Tables, prints: DataFrame, names: list[str], radius: int, block: int = BLOCK, label: str | None = None) -> DataFrame:
-    """Links (a, b) between nodes whose fingerprints differ in at most `radius` bits, up to a forest of each component;
-    or, with a label, all of those whose labels differ.
+def _cells(own, blocks):
+    """The cells of a member of block `own`: every pair (i, j) of blocks that has it."""
+    return F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
 
-    prints: one row a node (node long; a long for each lane in `names`; the label, a long). radius: at most 4 for one
-    lane, else at most 5 * lanes - 1. Hot anchors with only one label are left out.
+
+def links(tables: Tables, prints: DataFrame, names: list[str], radius: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between nodes whose fingerprints differ in at most `radius` bits, up to a forest of each component.
+
+    prints: one row a node (node long, a long for each lane in `names`). radius: at most 4 for one lane, else at most
+    5 * lanes - 1.
     """
     if radius > 5 * len(names) - 1:
         raise ValueError(f"the anchors guarantee {5 * len(names) - 1} bits at most")
-    others = [label] if label else []
-    carried = ["node", *names, *others]
+    carried = ["node", *names]
     schema = "anchor long, " + ", ".join(f"{c} long" for c in carried)
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     prints = prints.repartition(parts, "node")
-    rows = per_batch(prints, carried, schema, _replicate, names, others)
-    if label:
-        kinds = F.min(label) == F.max(label)
-        hot = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("count"), kinds.alias("one")).where(F.col("count") > block)
-    else:
-        hot = _hot_anchors(prints, names, block, parts).withColumn("one", F.lit(False))
+    rows = per_batch(prints, carried, schema, _replicate, names)
     # At most one in `block` rows names a hot anchor; written, its size is known, and Spark broadcasts it only if small.
-    hot = tables.put(hot.select("anchor", F.when(F.col("one"), 0).otherwise(F.ceil(F.col("count") / block)).cast("int").alias("blocks")))
+    hot = tables.put(_hot_anchors(prints, names, block, parts).select("anchor", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    cells = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
-    )
-    rows = rows.join(hot, "anchor", "left").where(F.col("blocks").isNull() | (F.col("blocks") > 0))
-    dealt = rows.select("anchor", *carried, F.inline(cells))
+    cells = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(_cells(own, F.col("blocks")))
+    dealt = rows.join(hot, "anchor", "left").select("anchor", *carried, F.inline(cells))
     dealt = dealt.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "node")
-    found = per_batch(dealt, ["anchor", "i", "j", *carried], "a long, b long", _compare, names, radius, label)
+    found = per_batch(dealt, ["anchor", "i", "j", *carried], "a long, b long", _compare, names, radius)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -452,14 +429,13 @@ def _jaccard(width: int):
 BINS = 256
 
 
-def shingle_bins(texts, width: int, bins: int = BINS):
-    """For each string of an Arrow array: how many distinct shingles of `width` words it has, and how many of them fall
-    into each bin of their hash, at most 255 a bin."""
+def shingle_sets(texts, width: int):
+    """Parts of an Arrow array of strings: for each, its number of texts, and the distinct `width`-word shingles of every
+    text as (text, 64-bit hash), by text and hash. Fewer words are one shingle; so are none."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    sizes, rows = [], []
     for words, codes, ends in encode_words(texts, "ascii", "ascii"):
         length = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         one = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string()))
@@ -476,11 +452,20 @@ def shingle_bins(texts, width: int, bins: int = BINS):
         order = np.lexsort((shingle, text))
         text, shingle = text[order], shingle[order]
         new = np.r_[True, (text[1:] != text[:-1]) | (shingle[1:] != shingle[:-1])]
-        text, shingle = text[new], shingle[new]
-        sizes.append(np.bincount(text, minlength=len(ends)))
-        own = np.bincount(text * bins + ((shingle >> np.uint64(40)) % np.uint64(bins)).astype(np.int64), minlength=len(ends) * bins)
+        yield len(ends), text[new], shingle[new]
+
+
+def shingle_bins(texts, width: int, bins: int = BINS):
+    """For each string of an Arrow array: how many distinct shingles of `width` words it has, and how many of them fall
+    into each bin of their hash, at most 255 a bin."""
+    import numpy as np
+
+    sizes, rows = [np.zeros(0, np.int64)], [np.zeros((0, bins), np.uint8)]
+    for n, text, shingle in shingle_sets(texts, width):
+        sizes.append(np.bincount(text, minlength=n))
+        own = np.bincount(text * bins + ((shingle >> np.uint64(40)) % np.uint64(bins)).astype(np.int64), minlength=n * bins)
         rows.append(np.minimum(own, 255).astype(np.uint8).reshape(-1, bins))
-    return (np.concatenate(sizes), np.concatenate(rows)) if sizes else (np.zeros(0, np.int64), np.zeros((0, bins), np.uint8))
+    return np.concatenate(sizes), np.concatenate(rows)
 
 
 def _sketched(width: int):
@@ -511,6 +496,97 @@ def _may_be_similar(similarity: float):
     return step
 
 
+#: Shingles of a block of texts in the second search, where each text counts TEXT_COST more.
+CELL, TEXT_COST = 1 << 21, 256
+
+
+def _hashed(names: list[str], width: int):
+    """Texts as their sets of shingles: 64-bit hashes, ascending, in one binary."""
+    import numpy as np
+
+    kept = ("part", "blocks", "node", "label", *names)
+
+    def step(batch):
+        sets = []
+        for n, text, shingle in shingle_sets(batch.column("text"), width):
+            ends = np.searchsorted(text, np.arange(n + 1))
+            sets += [shingle[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+        return {c: batch.column(c) for c in kept} | {"hashes": sets}
+
+    return step
+
+
+def similar_across(nodes, labels, own, prints, sets, radius: int, similarity: float) -> list[tuple]:
+    """Links between nodes of different labels whose fingerprints (lanes `prints`) differ in at most `radius` bits and
+    whose sets (bytes of 64-bit hashes) have the Jaccard similarity: enough of them to join every two labels that any
+    such link joins. own: each node's block, if only nodes of different blocks are to be compared, else None."""
+    import numpy as np
+
+    links: list[tuple] = []
+    labels = np.unique(labels, return_inverse=True)[1]
+    if not len(labels) or labels.max() == 0:
+        return links
+    size = np.fromiter(map(len, sets), np.int64, len(sets)) // 8
+    codes = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)[1]
+    end = np.cumsum(size)
+    begin = end - size
+    mark = np.zeros(len(codes), bool)
+    for i in range(len(nodes) - 1):
+        j = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
+        if own is not None:
+            j = j[own[j] != own[i]]
+        j = j[sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int16) for x in prints) <= radius]
+        j = j[np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i]) - 1e-6]
+        if not len(j):
+            continue
+        mark[codes[begin[i] : end[i]]] = True
+        for some in np.split(j, np.flatnonzero(np.diff(np.cumsum(size[j]) >> 20)) + 1):  # about a million shingles each
+            n = size[some]
+            starts = np.cumsum(n) - n
+            at = np.arange(n.sum()) + np.repeat(begin[some] - starts, n)
+            both = np.add.reduceat(mark[codes[at]].astype(np.int64), starts)
+            for k in some[both / (size[i] + n - both) >= similarity]:
+                if labels[k] != labels[i]:
+                    links.append((nodes[i], nodes[k]))
+                    labels[labels == labels[k]] = labels[i]
+        mark[codes[begin[i] : end[i]]] = False
+    return links
+
+
+def _similar_across(names: list[str], radius: int, similarity: float):
+    """Rows come sorted by (part, i, j): similar_across of each such cell."""
+    import numpy as np
+
+    columns = ("part", "i", "j", "node", "label", "own", *names)
+    cell: list = []  # of the last, perhaps unfinished cell: (columns, sets)
+
+    def found():
+        if not cell:
+            return []
+        _, i, j, node, label, own, *prints = (np.concatenate(x) for x in zip(*[c for c, _ in cell]))
+        sets = [x for _, some in cell for x in some]
+        cell.clear()
+        return similar_across(node, label, own if i[0] != j[0] else None, [x.view(np.uint64) for x in prints], sets, radius, similarity)
+
+    def out(links):
+        return {"a": [min(x) for x in links], "b": [max(x) for x in links]} if links else None
+
+    def step(batch):
+        values = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        key = np.stack(values[:3], axis=1)
+        cuts = [0, *(np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1), len(key)]
+        links = []
+        for a, b in zip(cuts, cuts[1:]):
+            if cell and a < b and any(c[-1] != k for c, k in zip(cell[-1][0][:3], key[a])):
+                links += found()
+            if a < b:
+                cell.append(([x[a:b] for x in values], batch.column("hashes")[a:b].to_pylist()))
+        return out(links)
+
+    step.rest = lambda: out(found())
+    return step
+
+
 #: Words of 64 bits in a filter of nodes: 4 MB, whatever the number of nodes.
 FILTER_WORDS = 1 << 19
 
@@ -556,8 +632,9 @@ def deduplicate(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, w
     Texts are classed by content first, so copies never meet pairwise. Classes whose word-set fingerprints (lanes of 46
     bits) differ in at most `radius` bits are candidates; candidate links count if the texts' sets of `width`-word
     shingles have Jaccard similarity of at least `similarity`. The first search reports a forest of candidates; where a
-    part of it holds several proven groups, a second one tests every candidate pair between them, so no candidate is
-    lost and pairs within a group of copies aren't expanded. Texts move only for pairs whose sketches (counts of
+    part of it holds several proven groups, a second one deals the part's sets of shingles into blocks, tests every
+    candidate pair between groups where two blocks meet, and reports a forest, so no candidate is lost and no pairs are
+    expanded. Texts move only for pairs whose sketches (counts of
     shingles by bins) don't rule the similarity out. Null text counts as empty. Repeated rows are copies.
     Columns and their order are kept. Only rows of classes that have links or copies are joined; a filter of fixed size
     lets the others stay where they are.
@@ -593,11 +670,17 @@ def deduplicate(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, w
     # A forest of candidates may miss a similar pair where one of its links isn't similar: there, all links across count.
     part = components(tables, edges).withColumnRenamed("root", "part")
     named = ends.join(part, "node", "left").join(roots, "node", "left").select("node", F.coalesce("part", "node").alias("part"), F.coalesce("root", "node").alias("label"))
-    open_ = named.groupBy("part").agg((F.min("label") < F.max("label")).alias("open")).where("open")
-    unsettled = tables.put(prints.join(named.join(open_, "part", "left_semi").select("node", "label"), "node"))
+    cost = F.ceil(F.sum(F.col("size") + TEXT_COST) / CELL).cast("int")
+    open_ = named.join(texts.select("node", "size"), "node").groupBy("part").agg((F.min("label") < F.max("label")).alias("open"), cost.alias("blocks")).where("open")
+    unsettled = tables.put(named.join(open_.select("part", "blocks"), "part"))
     if not unsettled.isEmpty():
-        more = links(tables, unsettled, names, radius, ACROSS_BLOCK, "label").join(edges, ["a", "b"], "left_anti")
-        roots = components(tables, sure.union(proven(more)))
+        lanes_ = ", ".join(f"{c} long" for c in names)
+        whole = unsettled.join(prints, "node").join(texts.select("node", "text"), "node")
+        sets = per_batch(whole, ["part", "blocks", "node", "label", *names, "text"], f"part long, blocks int, node long, label long, {lanes_}, hashes binary", _hashed, names, width)
+        dealt = sets.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("*", F.inline(_cells(F.col("own"), F.col("blocks"))))
+        dealt = dealt.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "node")
+        more = per_batch(dealt, ["part", "i", "j", "node", "label", "own", *names, "hashes"], "a long, b long", _similar_across, names, radius, similarity)
+        roots = components(tables, sure.union(more))
     grouped = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id"), F.col("node"))
     stay = grouped.groupBy("root").agg(F.min(order).alias("one"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("kinds"))
