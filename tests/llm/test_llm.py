@@ -300,3 +300,33 @@ def test_dedup_loses_no_candidate_to_a_forest(spark):
             order[-1], order[-2] = order[-2], order[-1]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(x["doc_id"] for x in simhash.deduplicate(spark, docs).collect()) == [10 * i for i in range(9)]
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_similar_across_joins_what_brute_force_joins(blocks):
+    import numpy as np
+
+    rng = random.Random(blocks)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    sets = [sorted({*rng.sample(base, rng.randint(48, 60)), *(rng.getrandbits(64) for _ in range(rng.randint(0, 6)))}) for _ in range(60)]
+    labels = np.array([rng.randint(0, 25) for _ in sets])
+    nodes, prints = np.arange(len(sets)) * 7, [np.zeros(len(sets), np.uint64)]
+    own = np.array([i % blocks for i in range(len(sets))])
+    raw = [np.array(x, np.uint64).tobytes() for x in sets]
+
+    def parts(pairs):
+        up = {int(x): int(x) for x in labels}
+        for a, b in pairs:
+            x, y = up[int(labels[a])], up[int(labels[b])]
+            up = {k: (x if v == y else v) for k, v in up.items()}
+        return {frozenset(k for k in up if up[k] == v) for v in up.values()}
+
+    near = [(i, j) for i in range(60) for j in range(i) if labels[i] != labels[j] and len({*sets[i]} & {*sets[j]}) / len({*sets[i]} | {*sets[j]}) >= 0.8]
+    found = []
+    for a in range(blocks):
+        for b in range(a, blocks):
+            at = np.flatnonzero((own == a) | (own == b))
+            found += simhash.similar_across(nodes[at], labels[at], own[at] if a != b else None, [x[at] for x in prints], [raw[i] for i in at], 9, 0.8)
+    links = [(int(a) // 7, int(b) // 7) for a, b in found]
+    assert all((max(x), min(x)) in near for x in links) and near
+    assert parts(links) == parts(near)
