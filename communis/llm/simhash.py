@@ -16,7 +16,7 @@ differs in at most 4, so anchors by lane lose none of those pairs either.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Tables, components, per_batch, table
@@ -159,38 +159,6 @@ def _fingerprints():
     return step
 
 
-def word_lanes(texts, lanes: int):
-    """Majority bits over the set of lower-case words of each string of an Arrow array, in lanes of 46 bits."""
-    import numpy as np
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    out = [[] for _ in range(lanes)]
-    for words, codes, ends in encode_words(texts):
-        length = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        one = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string()))
-        hashes = xxh64(pc.binary_join(one, "")[0].as_py().encode("utf-8"), np.cumsum(length) - length, length)
-        text = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
-        once = np.unique((text << 32) | codes)
-        sizes = np.bincount(once >> 32, minlength=len(ends))
-        once = hashes[once & 0xFFFFFFFF]
-        for i in range(lanes):
-            out[i].append(majority(once, sizes) & np.uint64((1 << 46) - 1))
-            once = (once ^ (once >> np.uint64(31))) * np.uint64(P2)  # the next lane's hashes
-            once = (once ^ (once >> np.uint64(29))) * np.uint64(P3)
-            once ^= once >> np.uint64(32)
-    return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
-
-
-def _word_lanes(lanes: int):
-    def step(batch):
-        import numpy as np
-
-        return {"node": batch.column("node")} | {f"f{i}": x.view(np.int64) for i, x in enumerate(word_lanes(batch.column("text"), lanes))}
-
-    return step
-
-
 def _replicate(names: list[str]):
     """Rows (anchor, node, lanes): anchor = lane, first codeword's number, second's, in one long."""
     import numpy as np
@@ -455,6 +423,66 @@ def shingle_sets(texts, width: int):
         yield len(ends), text[new], shingle[new]
 
 
+#: Hashes of a text's shingles in one band: two texts agree in a band with the power ROWS of their Jaccard similarity.
+ROWS = 6
+#: Chance at most that a pair just at the similarity agrees in no band; it doesn't depend on the texts' length.
+MISS = 1e-9
+
+
+def bands_for(similarity: float) -> int:
+    """How many bands leave a pair of that similarity with a chance of at most MISS to agree in none."""
+    import math
+
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-min(similarity, 0.999) ** ROWS)))
+
+
+def multipliers(n: int):
+    """n odd factors, the same everywhere."""
+    import numpy as np
+
+    return np.random.default_rng(46).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(n: int, text, shingle, bands: int):
+    """For shingle sets of n texts: a row of `bands` keys for each; the key of a band is a hash of ROWS least hashes of
+    the set (under a multiplier each) and of the band's number."""
+    import numpy as np
+
+    begin = np.searchsorted(text, np.arange(n + 1))
+    factors = multipliers(bands * ROWS)
+    keys = np.zeros((n, bands), np.uint64)
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + 32_000, "right")) - 1)  # what fits the cache
+        part = shingle[begin[lo] : begin[hi]]
+        starts, made = begin[lo:hi] - begin[lo], np.empty_like(part)
+        for k, factor in enumerate(factors):
+            np.multiply(part, factor, out=made)
+            band = keys[lo:hi, k // ROWS]
+            band *= np.uint64(P1)
+            band += np.minimum.reduceat(made, starts)
+            band ^= band >> np.uint64(29)
+        lo = hi
+    keys += np.arange(bands, dtype=np.uint64) * np.uint64(P3)
+    keys *= np.uint64(P2)
+    return keys ^ (keys >> np.uint64(32))
+
+
+def _bands(width: int, bands: int):
+    """Rows (band, node): every key of every distinct text of a batch."""
+
+    def step(batch):
+        import numpy as np
+        import pyarrow as pa
+
+        nodes, first = np.unique(batch.column("node").to_numpy(zero_copy_only=False), return_index=True)
+        texts = batch.column("text").take(pa.array(first))
+        keys = [band_keys(n, text, shingle, bands) for n, text, shingle in shingle_sets(texts, width)]
+        return {"band": np.concatenate(keys).view(np.int64).ravel(), "node": np.repeat(nodes, bands)} if keys else None
+
+    return step
+
+
 def shingle_bins(texts, width: int, bins: int = BINS):
     """For each string of an Arrow array: how many distinct shingles of `width` words it has, and how many of them fall
     into each bin of their hash, at most 255 a bin."""
@@ -500,26 +528,28 @@ def _may_be_similar(similarity: float):
 CELL, TEXT_COST = 1 << 21, 256
 
 
-def _hashed(names: list[str], width: int):
-    """Texts as their sets of shingles: 64-bit hashes, ascending, in one binary."""
+def _hashed(width: int, bands: int):
+    """Texts as their sets of shingles (64-bit hashes, ascending) and the keys of their bands, each in one binary."""
     import numpy as np
 
-    kept = ("part", "blocks", "node", "label", *names)
+    kept = ("part", "blocks", "node", "label")
 
     def step(batch):
-        sets = []
+        sets, keys = [], []
         for n, text, shingle in shingle_sets(batch.column("text"), width):
             ends = np.searchsorted(text, np.arange(n + 1))
             sets += [shingle[a:b].tobytes() for a, b in zip(ends, ends[1:])]
-        return {c: batch.column(c) for c in kept} | {"hashes": sets}
+            keys += [x.tobytes() for x in band_keys(n, text, shingle, bands)]
+        return {c: batch.column(c) for c in kept} | {"hashes": sets, "keys": keys}
 
     return step
 
 
-def similar_across(nodes, labels, own, prints, sets, radius: int, similarity: float) -> list[tuple]:
-    """Links between nodes of different labels whose fingerprints (lanes `prints`) differ in at most `radius` bits and
-    whose sets (bytes of 64-bit hashes) have the Jaccard similarity: enough of them to join every two labels that any
-    such link joins. own: each node's block, if only nodes of different blocks are to be compared, else None."""
+def similar_across(nodes, labels, own, prints, sets, radius: int, similarity: float, keys=None) -> list[tuple]:
+    """Links between nodes of different labels whose fingerprints (lanes `prints`, if any) differ in at most `radius`
+    bits, whose rows of `keys`, if given, agree in some column, and whose sets (bytes of 64-bit hashes) have the Jaccard
+    similarity: enough of them to join every two labels that any such link joins. own: each node's block, if only nodes
+    of different blocks are to be compared, else None."""
     import numpy as np
 
     links: list[tuple] = []
@@ -535,8 +565,14 @@ def similar_across(nodes, labels, own, prints, sets, radius: int, similarity: fl
         j = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
         if own is not None:
             j = j[own[j] != own[i]]
-        j = j[sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int16) for x in prints) <= radius]
         j = j[np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i]) - 1e-6]
+        if prints:
+            j = j[sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int16) for x in prints) <= radius]
+        if keys is not None:
+            agree = np.zeros(len(j), bool)
+            for lo in range(0, len(j), 4096):  # 2 MB of keys at a time
+                agree[lo : lo + 4096] = (keys[j[lo : lo + 4096]] == keys[i]).any(axis=1)
+            j = j[agree]
         if not len(j):
             continue
         mark[codes[begin[i] : end[i]]] = True
@@ -553,20 +589,21 @@ def similar_across(nodes, labels, own, prints, sets, radius: int, similarity: fl
     return links
 
 
-def _similar_across(names: list[str], radius: int, similarity: float):
+def _similar_across(similarity: float):
     """Rows come sorted by (part, i, j): similar_across of each such cell."""
     import numpy as np
 
-    columns = ("part", "i", "j", "node", "label", "own", *names)
-    cell: list = []  # of the last, perhaps unfinished cell: (columns, sets)
+    columns = ("part", "i", "j", "node", "label", "own")
+    cell: list = []  # of the last, perhaps unfinished cell: (columns, sets, keys)
 
     def found():
         if not cell:
             return []
-        _, i, j, node, label, own, *prints = (np.concatenate(x) for x in zip(*[c for c, _ in cell]))
-        sets = [x for _, some in cell for x in some]
+        _, i, j, node, label, own = (np.concatenate(x) for x in zip(*[c for c, _, _ in cell]))
+        sets = [x for _, some, _ in cell for x in some]
+        keys = np.frombuffer(b"".join(x for _, _, some in cell for x in some), np.uint64).reshape(len(node), -1)
         cell.clear()
-        return similar_across(node, label, own if i[0] != j[0] else None, [x.view(np.uint64) for x in prints], sets, radius, similarity)
+        return similar_across(node, label, own if i[0] != j[0] else None, [], sets, 0, similarity, keys)
 
     def out(links):
         return {"a": [min(x) for x in links], "b": [max(x) for x in links]} if links else None
@@ -580,7 +617,7 @@ def _similar_across(names: list[str], radius: int, similarity: float):
             if cell and a < b and any(c[-1] != k for c, k in zip(cell[-1][0][:3], key[a])):
                 links += found()
             if a < b:
-                cell.append(([x[a:b] for x in values], batch.column("hashes")[a:b].to_pylist()))
+                cell.append(([x[a:b] for x in values], batch.column("hashes")[a:b].to_pylist(), batch.column("keys")[a:b].to_pylist()))
         return out(links)
 
     step.rest = lambda: out(found())
@@ -626,15 +663,15 @@ def passing(df: DataFrame, held, wanted: bool = True) -> DataFrame:
     return per_batch(rows, rows.columns, df._jdf.schema().toDDL(), _passing, held, words, wanted)
 
 
-def deduplicate(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, width: int = 5, lanes: int = 2, radius: int = 9) -> DataFrame:
+def deduplicate(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """docs without near copies: of each group the row with the smallest doc_id stays, with all its columns.
 
-    Texts are classed by content first, so copies never meet pairwise. Classes whose word-set fingerprints (lanes of 46
-    bits) differ in at most `radius` bits are candidates; candidate links count if the texts' sets of `width`-word
-    shingles have Jaccard similarity of at least `similarity`. The first search reports a forest of candidates; where a
-    part of it holds several proven groups, a second one deals the part's sets of shingles into blocks, tests every
-    candidate pair between groups where two blocks meet, and reports a forest, so no candidate is lost and no pairs are
-    expanded. Texts move only for pairs whose sketches (counts of
+    Texts are classed by content first, so copies never meet pairwise. Classes whose sets of `width`-word shingles agree
+    in a band of least hashes are candidates, which leaves out a pair of the similarity with a chance of MISS at most,
+    however long the texts; candidate links count if the sets have Jaccard similarity of at least `similarity`. The first
+    search links all of a band's texts to the least of them; where a part of these links holds several proven groups, a
+    second one deals the part's sets of shingles into blocks, tests every candidate pair between groups where two blocks
+    meet, and reports a forest, so no candidate is lost and no pairs are expanded. Texts move only for pairs whose sketches (counts of
     shingles by bins) don't rule the similarity out. Null text counts as empty. Repeated rows are copies.
     Columns and their order are kept. Only rows of classes that have links or copies are joined; a filter of fixed size
     lets the others stay where they are.
@@ -643,14 +680,10 @@ def deduplicate(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, w
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumn("__node", F.xxhash64(text))
     rows = tables.put(keyed.select("doc_id", F.col("__node").alias("node")).groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n")))
-    names = [f"f{i}" for i in range(lanes)]
-    prints = per_batch(keyed.select(F.col("__node").alias("node"), text.alias("text")), ["node", "text"], "node long, " + ", ".join(f"{c} long" for c in names), _word_lanes, lanes)
-    prints = tables.put(prints.groupBy("node").agg(*[F.min(c).alias(c) for c in names]))
-    # Classes of equal fingerprints are held against the least of them, which stands for all in the search.
-    least = prints.groupBy(*names).agg(F.min("node").alias("top"))
-    same = prints.join(least, names).where("node <> top").select(F.col("top").alias("a"), F.col("node").alias("b"))
-    near = links(tables, least.select(F.col("top").alias("node"), *names), names, radius)
-    edges = tables.put(near.union(same))
+    bands = bands_for(similarity)
+    keys = per_batch(keyed.select(F.col("__node").alias("node"), text.alias("text")), ["node", "text"], "band long, node long", _bands, width, bands)
+    top = F.min("node").over(Window.partitionBy("band"))
+    edges = tables.put(keys.select(top.alias("a"), F.col("node").alias("b")).where("a <> b").distinct())
     ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     some = passing(keyed.select("__node", text.alias("text")), node_filter(ends))
     texts = some.join(ends.withColumnRenamed("node", "__node"), "__node", "left_semi").dropDuplicates(["__node"]).withColumnRenamed("__node", "node")
@@ -674,12 +707,11 @@ def deduplicate(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, w
     open_ = named.join(texts.select("node", "size"), "node").groupBy("part").agg((F.min("label") < F.max("label")).alias("open"), cost.alias("blocks")).where("open")
     unsettled = tables.put(named.join(open_.select("part", "blocks"), "part"))
     if not unsettled.isEmpty():
-        lanes_ = ", ".join(f"{c} long" for c in names)
-        whole = unsettled.join(prints, "node").join(texts.select("node", "text"), "node")
-        sets = per_batch(whole, ["part", "blocks", "node", "label", *names, "text"], f"part long, blocks int, node long, label long, {lanes_}, hashes binary", _hashed, names, width)
+        whole = unsettled.join(texts.select("node", "text"), "node")
+        sets = per_batch(whole, ["part", "blocks", "node", "label", "text"], "part long, blocks int, node long, label long, hashes binary, keys binary", _hashed, width, bands)
         dealt = sets.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("*", F.inline(_cells(F.col("own"), F.col("blocks"))))
         dealt = dealt.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "node")
-        more = per_batch(dealt, ["part", "i", "j", "node", "label", "own", *names, "hashes"], "a long, b long", _similar_across, names, radius, similarity)
+        more = per_batch(dealt, ["part", "i", "j", "node", "label", "own", "hashes", "keys"], "a long, b long", _similar_across, similarity)
         roots = components(tables, sure.union(more))
     grouped = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id"), F.col("node"))

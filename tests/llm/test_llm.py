@@ -330,3 +330,22 @@ def test_similar_across_joins_what_brute_force_joins(blocks):
     links = [(int(a) // 7, int(b) // 7) for a, b in found]
     assert all((max(x), min(x)) in near for x in links) and near
     assert parts(links) == parts(near)
+
+
+def test_dedup_finds_scattered_changes_in_texts_of_any_length(spark):
+    """Pairs of five-word Jaccard similarity between 0.8 and 0.87, by fresh words far apart."""
+    r = random.Random(21)
+    rows = []
+
+    def sh(w):
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    for family, n in enumerate([100, 150, 200, 300, 500, 800, 1500, 2500, 4000, 6000] * 5):
+        words = [f"w{r.randrange(5000)}" for _ in range(n)]
+        other, fresh = list(words), 0
+        for at in range(20, n - 20, 55):
+            other[at], fresh = f"fresh{family}x{at}", fresh + 1
+        assert 0.8 <= len(sh(words) & sh(other)) / len(sh(words) | sh(other)) <= 0.93
+        rows += [(10 * family, " ".join(words)), (10 * family + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(x["doc_id"] for x in simhash.deduplicate(spark, docs).collect()) == [10 * i for i in range(50)]
