@@ -1,8 +1,8 @@
 """Operator 2: benchmark decontamination by SimHash of item-sized windows.
 
 Words are lower-case runs of letters, digits and underscores. A document's window is as many words as a benchmark item
-has. Windows that share no shingle with an item cannot be similar to it, so only those are fingerprinted that put some
-shared shingle where an item has it. A multi-index finds every item of that size within RADIUS bits of the window: the
+has. A window can only be similar to an item if enough of its shingles are shared, so every window is fingerprinted in
+which that many places have a shingle of some item of its size, wherever the item has it. A multi-index finds every item of that size within RADIUS bits of the window: the
 64 bits fall into 8 blocks, and two fingerprints within 8 * FLIPS + 7 bits agree in some block up to FLIPS bits, so
 probing each block's value with up to FLIPS bits flipped misses none. What it finds is verified by the weighted
 Jaccard similarity of the shingles, weighted by how often each occurs.
@@ -57,7 +57,7 @@ class Benchmark:
         import numpy as np
 
         self.width, self.items, self.vocabulary = width, {}, {}
-        self.places: dict[str, set] = {}  # shingle: (words in the item, place in it)
+        self.sizes: dict[str, set] = {}  # shingle: words in the items that have it
         self.blocks: dict[tuple, list] = {}
         for item, text in items:
             words = words_of(text)
@@ -69,15 +69,15 @@ class Benchmark:
             self.items[key] = (item, mark, Counter(parts), len(words))
             for w in words:
                 self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
-            for at, x in enumerate(parts):
-                self.places.setdefault(x, set()).add((len(words), at))
+            for x in parts:
+                self.sizes.setdefault(x, set()).add(len(words))
             for j in range(8):
                 self.blocks.setdefault((len(words), j, mark >> 8 * j & 255), []).append(key)
         self.masks = [sum(1 << b for b in some) for n in range(FLIPS + 1) for some in combinations(range(8), n)]
         # Sorted codes of the shingles, for each number of words that a shingle has.
         self.codes = {}
         for n in range(1, width + 1):
-            some = [x.split(" ") for x in self.places if x.count(" ") == n - 1]
+            some = [x.split(" ") for x in self.sizes if x.count(" ") == n - 1]
             if some:
                 ids = np.array([[self.vocabulary[w] for w in x] for x in some], np.uint64)
                 self.codes[n] = np.unique(self.code(list(ids.T)))
@@ -125,24 +125,39 @@ class Benchmark:
 
     def leaks(self, text: str | None, radius: int, least: float) -> dict:
         """item: (similarity, first word of the window, words) of the most similar window, the first of several."""
+        import numpy as np
+        import xxhash
+
         words = words_of(text)
-        windows: set[tuple] = set()
+        at: dict[int, list] = {}  # size: places of shingles that some item of that size has
         for n in self.codes:
             for p in range(len(words) - n + 1):
                 if words[p] in self.vocabulary:
-                    for size, place in self.places.get(" ".join(words[p : p + n]), ()):
-                        if size >= self.width or n == size:
-                            windows.add((size, min(max(p - place, 0), max(len(words) - size, 0))))
+                    for size in self.sizes.get(" ".join(words[p : p + n]), ()):
+                        at.setdefault(size, []).append(p)
         best: dict = {}
-        for size, start in sorted(windows):
-            parts = shingles(words[start : start + size], self.width)
-            own = None
-            for k in self.near(size, fingerprint(parts), radius):
-                own = own or Counter(parts)
-                item, _, weights, _ = self.items[k]
-                s = similarity(own, weights)
-                if s >= least and (item not in best or s > best[item][0]):
-                    best[item] = (s, start, size)
+        for size in sorted(at):
+            n = min(size, self.width)
+            own, whole = min(size, len(words)) - n + 1, size - n + 1  # shingles of a window, of an item
+            starts = np.arange(max(at[size][0] - own + 1, 0), min(at[size][-1], max(len(words) - size, 0)) + 1)
+            shared = np.searchsorted(at[size], starts + own) - np.searchsorted(at[size], starts)
+            starts = starts[(shared > 0) & (shared >= least * (own + whole) / (1 + least) - 1e-9)]
+            if not len(starts):
+                continue
+            first = int(starts[0])
+            parts = shingles(words[first : int(starts[-1]) + size], n)
+            hashes = np.fromiter((xxhash.xxh64_intdigest(x, 7) for x in parts), np.uint64, len(parts))
+            for lo in range(0, len(starts), 1000):
+                some = starts[lo : lo + 1000]
+                marks = majority(hashes[(some[:, None] - first + np.arange(own)).ravel()], np.full(len(some), own))
+                for start, mark in zip(some.tolist(), marks.tolist()):
+                    weights_of = None
+                    for k in self.near(size, mark, radius):
+                        weights_of = weights_of or Counter(parts[start - first : start - first + own])
+                        item, _, weights, _ = self.items[k]
+                        s = similarity(weights_of, weights)
+                        if s >= least and (item not in best or s > best[item][0]):
+                            best[item] = (s, start, size)
         return best
 
 

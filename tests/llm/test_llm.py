@@ -349,3 +349,32 @@ def test_dedup_finds_scattered_changes_in_texts_of_any_length(spark):
         rows += [(10 * family, " ".join(words)), (10 * family + 1, " ".join(other))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert sorted(x["doc_id"] for x in simhash.deduplicate(spark, docs).collect()) == [10 * i for i in range(50)]
+
+
+def test_decontamination_tries_windows_between_the_aligned_ones(spark):
+    """Passages trimmed at both ends with words put in the middle are most like their item where no shingle is aligned."""
+    r = random.Random(31)
+
+    def fresh(n):
+        return [f"v{r.randrange(10**6)}" for _ in range(n)]
+
+    items, texts = [], ["", " ".join(fresh(300))]
+    for n, trimmed, more in ((80, 2, 4), (100, 3, 6), (200, 8, 16), (400, 18, 36), (80, 5, 10), (100, 0, 0), (60, 1, 1)):
+        own = fresh(n)
+        cut = own[trimmed : n - trimmed]
+        items.append((len(items), " ".join(own)))
+        texts.append(" ".join([*fresh(50), *cut[: len(cut) // 2], *fresh(more), *cut[len(cut) // 2 :], *fresh(50)]))
+        texts.append(" ".join([*cut[: len(cut) // 2], *fresh(more), *cut[len(cut) // 2 :]]))
+    want = {}
+    for d, t in enumerate(texts):
+        words = decontaminate.words_of(t)
+        for item, text in items if words else ():
+            own = decontaminate.words_of(text)
+            goal = decontaminate.Counter(decontaminate.shingles(own, 5))
+            found = [(decontaminate.similarity(decontaminate.Counter(decontaminate.shingles(words[s : s + len(own)], 5)), goal), -s) for s in range(max(1, len(words) - len(own) + 1))]
+            if max(found)[0] >= 0.8:
+                want[d, item] = (max(found)[0], -max(found)[1], len(own))
+    docs, bench = docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): (x["similarity"], x["first_word"], x["words"]) for x in decontaminate.leaks(spark, docs, bench).collect()}
+    assert got == want and {i for _, i in want} >= {0, 1, 2, 3, 5, 6}
+    assert {x["doc_id"] for x in decontaminate.drop_leaks(spark, docs, bench).collect()} == set(range(len(texts))) - {d for d, _ in want}
