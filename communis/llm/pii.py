@@ -31,9 +31,13 @@ RUN = re.compile(rf"(?i)(?:\bplus[\s-]+)?\b(?:{DIGIT})(?:[\s,.-]+(?:{DIGIT}))" r
 #: A disguised address: a name, an at sign in brackets or as a word, and at least one dot sign, one of them disguised.
 AT = r"\s*(?:[\[({<]\s*(?:at|@)\s*[\])}>]|\s[aA][tT]\s|@)\s*"
 DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+|\.)"
-ADDRESS = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:{DOT}[A-Za-z0-9_%+-]+)" r"{0,4}?" rf"{AT}[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)+")
+#: After a bare "at" or a spaced @, something like 3.50 or v1.2 is no domain.
+DOMAIN = rf"(?!\s*[A-Za-z0-9-]+(?:\.[0-9-][A-Za-z0-9-]*)+(?![A-Za-z0-9-]|{DOT}[A-Za-z0-9-]))"
+MEANT = rf"(?:[\[({{<]\s*(?:at|@)\s*[\])}}>]|(?<!\s)@(?!\s)|(?:\sat\s|@){DOMAIN})\s*"
+ADDRESS = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:{DOT}[A-Za-z0-9_%+-]+)" r"{0,4}?" rf"\s*{MEANT}[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)+")
 AT_SIGN, DOT_SIGN = re.compile(rf"(?i){AT}"), re.compile(rf"(?i){DOT}")
-HINT = re.compile(r"(?i)[\[({<]\s*(?:at|@|dot)\s*[\])}>]|\sat\s+[a-z0-9-]+(?:\s+dot\s|\.[a-z])|@\S*\s+dot\s")
+#: A part of every ADDRESS, so that texts without it have none.
+HINT = re.compile(rf"(?i){MEANT}[A-Za-z0-9-]+{DOT}[A-Za-z0-9-]")
 
 
 def luhn(digits: str) -> bool:

@@ -378,3 +378,22 @@ def test_decontamination_tries_windows_between_the_aligned_ones(spark):
     got = {(x["doc_id"], x["item_id"]): (x["similarity"], x["first_word"], x["words"]) for x in decontaminate.leaks(spark, docs, bench).collect()}
     assert got == want and {i for _, i in want} >= {0, 1, 2, 3, 5, 6}
     assert {x["doc_id"] for x in decontaminate.drop_leaks(spark, docs, bench).collect()} == set(range(len(texts))) - {d for d, _ in want}
+
+
+def test_pii_hint_is_in_every_disguised_address():
+    for text in ("joe@example[.]com", "joe@mail(.)example(.)com", "joe @ example.com", "joe dot smith@example.com", "joe at example {.} com", "joe at mail.2x.com", "joe[.]smith@example.com"):
+        whole = f"so {text}, then" if " " not in text else f"({text})"
+        start = whole.index(text)
+        assert (0, start, start + len(text)) in pii.disguised_spans(whole, pii.base_spans(whole)), text
+        assert pii.masked(whole) == whole.replace(text, "<EMAIL>")
+    for text in ("sold at 3.50 each", "5 @ 2.25 or 4 at 10.30.", "released at v1.2", "a at b", "joe@example.com"):
+        assert pii.disguised_spans(text, pii.base_spans(text)) == []
+    r = random.Random(3)
+    marks = ["@", " @ ", "[at]", " (@) ", " at ", "<AT>", "@\n", ".", " . ", "[.]", " (dot) ", " dot ", "{ . }", ""]
+    found = 0
+    for _ in range(20_000):
+        text = "".join(r.choice(["joe", "x1", "3", "com", "a-b"]) + r.choice(marks) for _ in range(r.randint(2, 6)))
+        if pii.ADDRESS.search(text):
+            found += 1
+            assert pii.HINT.search(text), text
+    assert found > 1000
