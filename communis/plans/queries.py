@@ -46,7 +46,7 @@ def _marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _first_sources(graph: g.Graph) -> DataFrame:
-    return graph.nodes.where(F.col("id") < SOURCES).select("id")  # a sample of sources is the feature
+    return graph.nodes.where(F.col("id") < SOURCES).select("id")  # as the SQL of bfs_levels has it
 
 
 def _sync(spark: SparkSession, sf_dir: str, algorithm: str = "sync", **how) -> DataFrame:
@@ -96,10 +96,10 @@ QUERIES: dict[str, Callable] = {
     "contingency_marginals": _marginals,
     "nmi": _nmi,
     "bfs_levels": _trade(lambda x: centrality.bfs(x, _first_sources(x), DEPTH)),
-    "betweenness": _trade(lambda x: centrality.betweenness(x, _first_sources(x)).select("id", F.round("centrality", 6).alias("centrality"))),
+    "betweenness": _trade(lambda x: centrality.betweenness(x).select("id", F.round("centrality", 6).alias("centrality"))),
     "sync_until_stop": _sync,
-    "async_batches": lambda spark, d: _sync(spark, d, "async", tie="hash", seed=7, batches=4, max_rounds=2),
-    "semisync": lambda spark, d: _sync(spark, d, "semisync", max_rounds=1, coloring="proper"),
+    "async_batches": lambda spark, d: _sync(spark, d, "async", tie="hash", seed=7, batches=4),
+    "semisync": lambda spark, d: _sync(spark, d, "semisync", coloring="proper"),
     "coloring_reference": _trade(lambda x: coloring.color(x)),
     "coloring_proper": _trade(lambda x: coloring.color(x, "proper")),
 }

@@ -162,3 +162,76 @@ def test_registry_agrees_with_sql(spark):
 
 def float_or(x):
     return float(x) if isinstance(x, (int, float)) else x
+
+
+def hashed(*values):
+    """Spark's xxhash64 of integers: ("i", n) or ("l", n) each."""
+    import xxhash
+
+    h = 42
+    for kind, n in values:
+        h = xxhash.xxh64_intdigest(n.to_bytes(4 if kind == "i" else 8, "little", signed=True), h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def until_stop(to, groups, prefer):
+    """Labels by the stop rule; groups(turn): nodes that vote together, one group after another."""
+    label, counts = {i: i for i in to}, []
+    while True:
+        turn, before = len(counts) + 1, dict(label)
+        for group in groups(turn):
+            new = {}
+            for i in group:
+                votes = Counter(label[j] for j in to[i])
+                new[i] = max(votes, key=lambda c: (votes[c], *prefer(turn, i, c)))
+            label |= new
+        counts.append(len(set(label.values())))
+        if propagate.stop(counts, sum(label[i] != before[i] for i in to), len(to)):
+            return label, len(counts)
+
+
+def test_registered_queries_do_the_whole_job(spark):
+    """Betweenness from every source, async and semisync to their stop rule, against plain models."""
+    import os
+
+    from communis.plans import queries
+    from communis.sources import tables
+
+    at = "/root/testdata/sf0.001"
+    if not os.path.isdir(at):
+        pytest.skip("no tables")
+    to = near(tables.trade(spark, at))
+    total = dict.fromkeys(to, 0.0)
+    for s in to:
+        dist, sigma, order_, at_ = {s: 0}, Counter({s: 1}), [s], 0
+        while at_ < len(order_):
+            v = order_[at_]
+            at_ += 1
+            for w in to[v]:
+                if w not in dist:
+                    dist[w] = dist[v] + 1
+                    order_.append(w)
+                if dist[w] == dist[v] + 1:
+                    sigma[w] += sigma[v]
+        delta = Counter()
+        for w in reversed(order_):
+            for v in to[w]:
+                if dist[v] == dist[w] - 1:
+                    delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
+            if w != s:
+                total[w] += delta[w]
+    found = {r["id"]: r["centrality"] for r in queries.QUERIES["betweenness"](spark, at).collect()}
+    assert found.keys() == total.keys() and all(math.isclose(found[i], total[i] / 2, abs_tol=2e-6) for i in total)
+
+    def deal(turn):
+        for k in range(4):
+            yield [i for i in to if hashed(("l", i), ("i", 7), ("i", turn)) % 4 == k]
+
+    want, rounds = until_stop(to, deal, lambda turn, i, c: (hashed(("i", 7), ("i", turn), ("l", i), ("l", c)), -c))
+    assert {r["id"]: r["label"] for r in queries.QUERIES["async_batches"](spark, at).collect()} == want and rounds > 2
+    color = {}
+    for i in sorted(to):
+        taken = {color[j] for j in to[i] if j in color}
+        color[i] = min(set(range(len(to))) - taken)
+    want, rounds = until_stop(to, lambda turn: [[i for i in to if color[i] == k] for k in range(max(color.values()) + 1)], lambda turn, i, c: (-c,))
+    assert {r["id"]: r["label"] for r in queries.QUERIES["semisync"](spark, at).collect()} == want and rounds > 1
