@@ -20,7 +20,7 @@ KINDS = (
     ("access", r"AKIA[A-Z0-9]{16,}", "identifier"),
     ("hex", r"[0-9a-f]{24,}", "secret"),
     ("weak_access", r"(?i)\b(?:access[_-]?key(?:[_-]?id)?|client[_-]?id|username|user|login|account)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@+-]{3,}", "identifier"),
-    ("weak_secret", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])", "secret"),
+    ("weak_secret", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", "secret"),
     ("endpoint", r"(?i)\b(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+", "endpoint"),
 )
 STRONG = 3

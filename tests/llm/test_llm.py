@@ -397,3 +397,11 @@ def test_pii_hint_is_in_every_disguised_address():
             found += 1
             assert pii.HINT.search(text), text
     assert found > 1000
+
+
+def test_secrets_of_any_length(spark):
+    for n in (128, 129, 200, 3000):
+        mixed = ("Zq3xT9bV1mK8sD2fG7hJ" * 150)[:n]
+        row = secrets.scan(spark, docs_of(spark, [f"user: bob pwd {mixed} at https://db.example.com/x"])).first()
+        end = 18 + n  # the scope is between starts
+        assert row["spans"] == f"weak_access:0:9,weak_secret:14:{14 + n}" + (f",endpoint:{end}:{end + 24}" if n < 380 else "")
