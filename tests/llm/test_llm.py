@@ -405,3 +405,17 @@ def test_secrets_of_any_length(spark):
         row = secrets.scan(spark, docs_of(spark, [f"user: bob pwd {mixed} at https://db.example.com/x"])).first()
         end = 18 + n  # the scope is between starts
         assert row["spans"] == f"weak_access:0:9,weak_secret:14:{14 + n}" + (f",endpoint:{end}:{end + 24}" if n < 380 else "")
+
+
+def test_language_is_calibrated_on_every_training_text(spark):
+    import numpy as np
+
+    r = random.Random(8)
+    rows = [(sentence(r, r.randint(5, 40)), "en") for _ in range(40)] + [(sentence(r, 20, ["bala", "mana", "tala"]), "aa") for _ in range(3)] + [("12 !?", "aa")]
+    rows += [rows[0]] * 20
+    model, names, usual = language.train(Tables(spark, "test"), spark.createDataFrame(rows, "text string, lang string"))
+    assert set(usual) == {"en", "aa"}
+    who = language.Identifier(model, names, {})
+    for c in names:
+        h = [x[names.index(c)] for x in who.entropies(pa.array([t for t, lang in rows if lang == c])) if x is not None]
+        assert np.allclose(usual[c], (np.mean(h), max(np.std(h), 0.05)))
