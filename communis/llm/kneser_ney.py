@@ -227,29 +227,11 @@ def add_level(model: CharModel, matrix, counts) -> CharModel:
     return model
 
 
-def collect_counts(tables, df: DataFrame, order_of: dict, default: int, most: int):
-    """(grams, classes, counts by gram and class), at most the `most` most frequent of each class: the bound on a model's size, far
-    above what the test tables have; grams beyond it are scored by the levels below."""
-    counts = _at_most(tables.put(count_grams(df, order_of, default)), most)
+def collect_counts(tables, df: DataFrame, order_of: dict, default: int):
+    """(grams, classes, counts by gram and class): every gram, as discounts and the counts of the levels below rest on the
+    rare ones too."""
+    counts = tables.put(count_grams(df, order_of, default))
     names = sorted(r["cls"] for r in counts.select("cls").distinct().collect())
     wide = counts.groupBy("gram").agg(*[F.sum(F.when(F.col("cls") == c, F.col("n"))).alias(f"c{i}") for i, c in enumerate(names)]) if names else counts
     found = wide.toPandas()
     return found.gram, names, found[[f"c{i}" for i in range(len(names))]].fillna(0).to_numpy(float)
-
-
-def _at_most(counts: DataFrame, most: int) -> DataFrame:
-    """Rows of the counts above the least threshold by which each class has at most `most` grams (powers of two)."""
-    by = counts.groupBy("cls", F.floor(F.log2("n")).cast("int").alias("size")).agg(F.count(F.lit(1)).alias("grams")).collect()
-    least: dict[str, int] = {}
-    for cls in {r["cls"] for r in by}:
-        room, floor = most, 0
-        for r in sorted((r for r in by if r["cls"] == cls), key=lambda r: -r["size"]):
-            room -= r["grams"]
-            if room < 0:
-                floor = r["size"] + 1
-                break
-        if floor:
-            least[cls] = floor
-    for cls, floor in least.items():
-        counts = counts.where((F.col("cls") != cls) | (F.col("n") >= 1 << floor))
-    return counts

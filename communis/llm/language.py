@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import Tables, bucket_of, per_batch, table
 from .kneser_ney import collect_counts, fit, gram_matrix
 
-ORDER, MOST_GRAMS = 4, 1_000_000
+ORDER = 4
 #: Spreads above the mean beyond which a text is like none of the languages.
 REJECT = 6.0
 
@@ -53,10 +53,10 @@ class Identifier:
         return out
 
 
-def train(tables: Tables, docs: DataFrame, order: int = ORDER, most: int = MOST_GRAMS):
+def train(tables: Tables, docs: DataFrame, order: int = ORDER):
     """(model, languages, usual entropies) of docs (text, lang); nulls are left out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    grams, names, counts = collect_counts(tables, known.select(F.col("lang").alias("cls"), "text"), {}, order, most)
+    grams, names, counts = collect_counts(tables, known.select(F.col("lang").alias("cls"), "text"), {}, order)
     if not names:
         return None, [], {}
     model = fit(gram_matrix(grams, order), counts)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import Tables, bucket_of, per_batch, table
 from .kneser_ney import add_level, collect_counts, fit, gram_matrix
 
-SHARED_ORDER, MOST_GRAMS = 4, 2_000_000
+SHARED_ORDER = 4
 #: At most so many labelled documents of each class are used to fit the classifier, those of least hash.
 PER_CLASS = 8000
 #: A word whose log-likelihoods differ by more than this is told apart by its spelling alone.
@@ -74,10 +74,10 @@ def train(tables: Tables, docs: DataFrame, labels: DataFrame, per_class: int = P
     fold = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3)).alias("fold")
     sample = tables.put(docs.join(chosen, "doc_id").select("doc_id", "text", "toxic", fold))
     top = SHARED_ORDER + 1
-    grams, classes, counts = collect_counts(tables, sample.where("fold > 0").select(F.col("toxic").cast("string").alias("cls"), "text"), {}, top, MOST_GRAMS)
+    grams, classes, counts = collect_counts(tables, sample.where("fold > 0").select(F.col("toxic").cast("string").alias("cls"), "text"), {}, top)
     if len(classes) < 2:
         return None, None
-    every, _, shared = collect_counts(tables, docs.select(F.lit("all").alias("cls"), "text"), {}, SHARED_ORDER, MOST_GRAMS)
+    every, _, shared = collect_counts(tables, docs.select(F.lit("all").alias("cls"), "text"), {}, SHARED_ORDER)
     model = fit(gram_matrix(every, SHARED_ORDER), shared)
     add_level(model, gram_matrix(grams, top), counts)  # classes are "0" and "1", in this order
 
