@@ -1,24 +1,30 @@
 """Operator 1: bulk-synchronous best-fit packing of token sequences.
 
-Documents are tokenised, each ends with an end id, and only those longer than a sequence are cut. Pieces and gaps are kept
-sorted by size as runs of equal size: there are never more sizes than a sequence has tokens, however many documents.
-Each round takes the largest size that is still unplaced, sweeps to its successor (the smallest gap that it fits in),
-matches that run of pieces with that run of gaps at once, and puts the smaller gaps back in order. Pieces of equal size
-compete for the same gaps; their rank decides who gets which. What fits no gap opens new sequences. Executors count
-the sizes, rank the pieces and place them; the driver only sees the runs, at most sequence length x 64 numbers.
+Documents are tokenised, each ends with an end id, and only those longer than a sequence are cut. What is to be packed is
+a table of units, and the room left in the open sequences a table of gaps. A round sorts both into ranges of size,
+largest first. Each range is swept: a unit claims its successor, the smallest gap seen so far that is still free, so of
+several units with the same successor the one of first rank gets it and the next takes the gap after it. What a range
+can't match is handed on: from the numbers of units and gaps left in each range follows which ranks of which ranges
+meet, and those are joined. Matched gaps shrink, and the next round begins. Where no unit fits, new sequences open, as
+many as the tokens left over need.
+
+A gap takes one unit a round. So that rounds stay few, small pieces go in units of several, whose size falls by phases to
+single pieces, which fill what larger units leave. Sizes that many rows share are split among ranges by id.
 """
 
 from __future__ import annotations
 
-import bisect
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Tables, per_batch, table
 from .words import encode_words, expand
 
-LENGTH, END, SALTS = 4096, 1, 64
+LENGTH, END = 4096, 1
+#: Most tokens of a unit of small pieces, by phase, as parts of a sequence; the last phase has single pieces.
+SHARES = (8, 64, 512)
+#: Rows of a range, about: ranges are as many as their rows need, up to the session's number of shuffle partitions.
+RANGE = 1 << 16
 
 
 def vocabulary() -> str:
@@ -90,7 +96,7 @@ class Encoder:
         import pyarrow.compute as pc
 
         special = pc.any(pc.match_substring(texts, "<|")).as_py()  # special tokens are told by their case
-        for words, codes, ends in encode_words(texts, split="ascii", lower="" if special else "ascii", most=8 << 20):
+        for words, codes, ends in encode_words(texts, split="ascii", lower="" if special else "ascii", most=2 << 20):
             ids, done = expand(codes, ends, self.lists(words.to_pylist()))
             begin = 0
             for end in done:
@@ -118,90 +124,213 @@ def _pieces(path: str, length: int, end: int):
     return step
 
 
-def best_fit(counts, capacity: int) -> list[tuple]:
-    """Rounds of best-fit over counts[size]: (size, first rank, number, first sequence, pieces of it in each, offset).
-
-    Pieces of `size` with ranks from the first on go, so many to a sequence, to consecutive sequences at an offset."""
-    gaps: dict[int, list] = {}  # gap: runs (first sequence, number)
-    order: list[int] = []  # gaps in use, ascending
-    plan, opened = [], 0
-
-    def put(gap, first, n):
-        if n and gap:
-            if gap not in gaps:
-                bisect.insort(order, gap)
-                gaps[gap] = []
-            gaps[gap].append((first, n))
-
-    for size in range(capacity, 0, -1):
-        left, rank = int(counts[size]), 0
-        while left:
-            at = bisect.bisect_left(order, size)  # the successor
-            if at < len(order):
-                gap = order[at]
-                first, n = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap], order[at]
-            else:
-                gap, first, n = capacity, opened, -(-left // (capacity // size))
-                opened += n
-            each = gap // size
-            full = min(n, left // each)
-            if full:
-                plan.append((size, rank, full * each, first, each, capacity - gap))
-                rank, left = rank + full * each, left - full * each
-                put(gap - each * size, first, full)
-            if full < n and left:  # fewer than `each` are left: they share one sequence
-                plan.append((size, rank, left, first + full, left, capacity - gap))
-                put(gap - left * size, first + full, 1)
-                full, left = full + 1, 0
-            put(gap, first + full, n - full)
-    return plan
-
-
-def _place(base, plan, capacity: int):
-    """base[salt, size]: the rank of the first piece of that size in that salt."""
+def _units(most: int):
+    """Each piece with its unit: those of fewer than `most` tokens share one, the others have their own.
+
+    A unit has fewer than twice `most` tokens and lies within a batch."""
     import numpy as np
+    from pyspark import TaskContext
 
-    size, rank, _, first, each, offset = np.array(plan, np.int64).reshape(-1, 6).T
-    key = (size << 44) + rank
-    order = np.argsort(key)
-    size, rank, first, each, offset, key = (x[order] for x in (size, rank, first, each, offset, key))
+    made = [TaskContext.get().partitionId() << 33]
 
     def step(batch):
-        length, salt, within = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "salt", "within"))
-        own = base[salt, length] + within
-        at = np.searchsorted(key, (length << 44) + own, "right") - 1
-        k = own - rank[at]
-        out = {c: batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")}
-        return out | {"sequence_id": first[at] + k // each[at], "offset": offset[at] + k % each[at] * length}
+        length = batch.column("length").to_numpy(zero_copy_only=False)
+        small = length < most
+        before = np.cumsum(np.where(small, length, 0)) - np.where(small, length, 0)
+        key = np.where(small, before // max(most, 1), -1 - np.arange(len(length)))
+        _, first, unit = np.unique(key, return_index=True, return_inverse=True)
+        size = np.bincount(unit, length).astype(np.int64)
+        within = np.where(small, before - before[first][unit], 0)
+        out = {c: batch.column(c) for c in PIECE} | {"unit": unit + made[0], "size": size[unit], "within": within, "lead": np.arange(len(unit)) == first[unit]}
+        made[0] += len(size)
+        return out
 
     return step
 
 
-def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
+def matched(kinds):
+    """For rows in sweep order, gaps (0) and units (1): places of the gaps and of the units that they get. A unit gets
+    the nearest gap before it that is still free.
+
+    Where a row opens (a gap) or closes (a unit) is its level; of each level, a gap goes to the unit next after it."""
+    import numpy as np
+
+    depth = np.cumsum(np.where(kinds == 0, 1, -1))
+    level = np.where(kinds == 0, depth, depth + 1)
+    order = np.argsort(level, kind="stable")
+    here, after = order[:-1], order[1:]
+    pair = (level[here] == level[after]) & (kinds[here] == 0) & (kinds[after] == 1)
+    return here[pair], after[pair]
+
+
+def _sweep():
+    """Rows (kind, size, id) of a range in sweep order to (part, rank, unit, size, seq, gap): matched units and gaps, units
+    left over (seq null, ranked in order) and gaps left over (unit null, ranked from the smallest)."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    part, done = TaskContext.get().partitionId(), [0]
+    free = [np.zeros(0, np.int64), np.zeros(0, np.int64)]  # gaps not yet taken, the smallest last
+
+    def out(rank, unit, size, seq, gap):
+        known = lambda x: pa.array(x, mask=x < 0)
+        return pa.Table.from_pydict({"part": np.full(len(rank), part, np.int32), "rank": rank, "unit": known(unit), "size": known(size), "seq": known(seq), "gap": known(gap)})
+
+    def step(batch):
+        kind, size, id_ = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("kind", "size", "id"))
+        kind, size, id_ = np.r_[np.zeros(len(free[0]), np.int64), kind], np.r_[free[1], size], np.r_[free[0], id_]
+        gaps, units = matched(kind)
+        alone = np.ones(len(kind), bool)
+        alone[gaps] = alone[units] = False
+        left = np.flatnonzero(alone & (kind == 1))
+        still = np.flatnonzero(alone & (kind == 0))
+        free[:] = id_[still], size[still]
+        none = np.full(len(left), -1, np.int64)
+        rank = np.r_[np.zeros(len(gaps), np.int64), done[0] + np.arange(len(left))]
+        done[0] += len(left)
+        return out(rank, np.r_[id_[units], id_[left]], np.r_[size[units], size[left]], np.r_[id_[gaps], none], np.r_[size[gaps], none])
+
+    def rest():
+        n = len(free[0])
+        none = np.full(n, -1, np.int64)
+        return out(np.arange(n)[::-1].copy(), none, none, *free)
+
+    step.rest = rest
+    return step
+
+
+def handed_on(left: dict) -> list[tuple]:
+    """From {part: (units, gaps)} left over in each range: (part and first rank of units, part and first rank of gaps,
+    number) of those that meet. Ranges come by falling size, and a range's units meet the nearest gaps before it."""
+    out, stack = [], []
+    for part in sorted(left):
+        units, gaps = left[part]
+        rank = 0
+        while rank < units and stack:
+            at, first, n = stack.pop()
+            k = min(n, units - rank)
+            out.append((part, rank, at, first, k))
+            rank += k
+            if k < n:
+                stack.append((at, first + k, n - k))
+        if gaps:
+            stack.append((part, 0, gaps))
+    return out
+
+
+def _meeting(segments: list):
+    """Rows left over with the number `meet` of the unit and gap that meet, null for the others."""
+    import numpy as np
+    import pyarrow as pa
+
+    s = np.array(segments, np.int64).reshape(-1, 5)
+    base = np.cumsum(s[:, 4]) - s[:, 4]
+
+    def side(part, rank):
+        order = np.argsort((part << 40) + rank)
+        return ((part << 40) + rank)[order], s[order, 4], base[order]
+
+    sides = side(s[:, 0], s[:, 1]), side(s[:, 2], s[:, 3])
+
+    def step(batch):
+        is_gap = batch.column("unit").is_null().to_numpy(zero_copy_only=False)
+        key = (batch.column("part").to_numpy(zero_copy_only=False).astype(np.int64) << 40) + batch.column("rank").to_numpy(zero_copy_only=False)
+        meet = np.full(len(key), -1, np.int64)
+        for which, (starts, n, first) in zip((~is_gap, is_gap), sides):
+            rows = np.flatnonzero(which)
+            at = np.searchsorted(starts, key[rows], "right") - 1
+            past = key[rows] - starts[at]
+            hit = (at >= 0) & (past < n[at])
+            meet[rows[hit]] = first[at[hit]] + past[hit]
+        return {c: batch.column(c) for c in ("unit", "size", "seq", "gap")} | {"meet": pa.array(meet, mask=meet < 0)}
+
+    return step
+
+
+SWEPT = "part int, rank long, unit long, size long, seq long, gap long"
+
+
+def sweep_round(tables: Tables, units: DataFrame, gaps: DataFrame, parts: int) -> tuple[DataFrame, int]:
+    """One round: ((unit, size, seq, gap), number matched). Matched rows have both; of the others unit or seq is null.
+
+    units (unit, size), gaps (seq, gap). What goes through the driver is two numbers for each of the `parts` ranges."""
+    both = units.select(F.lit(1).alias("kind"), "size", F.col("unit").alias("id")).unionByName(gaps.select(F.lit(0).alias("kind"), F.col("gap").alias("size"), F.col("seq").alias("id")))
+    order = [F.desc("size"), "kind", "id"]
+    swept = tables.put(per_batch(both.repartitionByRange(parts, *order).sortWithinPartitions(*order), ["kind", "size", "id"], SWEPT, _sweep))
+    unit, gap = F.col("unit").isNotNull(), F.col("seq").isNotNull()
+    rows = swept.groupBy("part").agg(F.count_if(unit & ~gap).alias("u"), F.count_if(gap & ~unit).alias("g"), F.count_if(unit & gap).alias("both")).collect()
+    segments = handed_on({r["part"]: (r["u"], r["g"]) for r in rows})
+    here, across = sum(r["both"] for r in rows), sum(s[4] for s in segments)
+    columns = ["unit", "size", "seq", "gap"]
+    if not segments:
+        return swept.select(*columns), here
+    left = per_batch(swept.where(~(unit & gap)), ["part", "rank", *columns], "unit long, size long, seq long, gap long, meet long", _meeting, segments)
+    pairs = left.where(unit & F.col("meet").isNotNull()).select("meet", "unit", "size").join(left.where(gap & F.col("meet").isNotNull()).select("meet", "seq", "gap"), "meet")
+    made = swept.where(unit & gap).select(*columns).unionByName(left.where("meet IS NULL").select(*columns)).unionByName(pairs.select(*columns))
+    return made, here + across
+
+
+def _fill(tables: Tables, units: DataFrame, gaps: DataFrame, n: int, length: int, range_: int) -> tuple[list[DataFrame], DataFrame, int]:
+    """Rounds until all of the n units have a place or none fits: (placements (unit, seq, offset), gaps, units left)."""
+    placed = []
+    pair = F.col("unit").isNotNull() & F.col("seq").isNotNull()
+    at_most = int(tables.spark.conf.get("spark.sql.shuffle.partitions"))
+    least, (most, open_) = units.agg(F.min("size")).first()[0], gaps.agg(F.max("gap"), F.count(F.lit(1))).first()
+    while n and most is not None and least <= most:
+        made, found = sweep_round(tables, units, gaps, max(1, min(at_most, -(-(n + open_) // range_))))
+        made = tables.put(made)
+        room = F.when(pair, F.col("gap") - F.col("size")).otherwise(F.col("gap"))
+        placed.append(made.where(pair).select("unit", "seq", (F.lit(length) - F.col("gap")).alias("offset")))
+        units, n = made.where("seq IS NULL").select("unit", "size"), n - found
+        least, most = made.agg(F.min(F.when(F.col("seq").isNull(), F.col("size"))), F.max(F.when(F.col("seq").isNotNull(), room))).first()
+        gaps = made.where("seq IS NOT NULL").select("seq", room.alias("gap")).where("gap > 0")
+    return placed, gaps, n
+
+
+PIECE = ("doc_id", "piece", "start", "length", "ids_crc32")
+
+
+def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END, range_: int = RANGE) -> DataFrame:
     """One row for each piece of each row of docs (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id,
     offset.
 
-    Null and empty texts are a piece of the end id alone. Rows that repeat a doc_id are packed like any other; other
-    columns are ignored; an empty table gives no rows.
+    Null and empty texts are a piece of the end id alone. Very long texts give many pieces; those that fill a sequence
+    are one by themselves, with a negative sequence_id. Rows that repeat a doc_id are packed like any other. Ties of size
+    go by the units' ids, which follow the rows' places in the input. Other columns are ignored, whatever their names; an
+    empty table gives no rows.
     """
-    import numpy as np
-
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     tables = Tables(spark, "packing")
     pieces = per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id", "text"], schema, _pieces, path or vocabulary(), length, end)
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int").alias("salt")
-    rows = tables.put(pieces.select("*", salt))
-    counts = np.zeros((SALTS, length + 1), np.int64)
-    for r in rows.groupBy("salt", "length").count().toLocalIterator():
-        counts[r["salt"], r["length"]] = r["count"]
-    base = np.cumsum(counts, axis=0) - counts
-    plan = best_fit(counts.sum(axis=0), length)
-    by = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = rows.withColumn("within", F.row_number().over(by) - 1)
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "salt", "within"]
-    return per_batch(ranked, columns, schema + ", sequence_id long, offset long", _place, base, plan, length)
+    grouped = schema + ", unit long, size long, within long, lead boolean"
+    rows = tables.put(per_batch(pieces, list(PIECE), grouped, _units, max(1, length // SHARES[0])))
+    at = lambda seq, offset: [*PIECE, seq.alias("sequence_id"), offset.alias("offset")]
+    out = rows.where(F.col("length") == length).select(*at(-1 - F.col("unit"), F.lit(0).cast("long")))
+    left = rows.where(F.col("length") < length)
+    gaps, opened, phase = None, 0, 0
+    while True:
+        lead = left.where("lead").select("unit", "size")
+        n, tokens, wide = lead.agg(F.count(F.lit(1)), F.sum("size"), F.count_if(F.col("size") * 2 > length)).first()
+        if not n:
+            return out
+        if phase == 0:
+            new = max(wide, -(-tokens // length))
+            fresh = spark.range(opened, opened + new).select(F.col("id").alias("seq"), F.lit(length).cast("long").alias("gap"))
+            gaps, opened = fresh if gaps is None else gaps.unionByName(fresh), opened + new
+        placed, gaps, still = _fill(tables, lead, gaps, n, length, range_)
+        if placed:
+            made = placed[0]
+            for p in placed[1:]:
+                made = made.unionByName(p)
+            done = tables.put(left.join(made, "unit", "left"))
+            out = out.unionByName(done.where("seq IS NOT NULL").select(*at(F.col("seq"), F.col("offset") + F.col("within"))))
+            left = done.where("seq IS NULL").drop("seq", "offset")
+        if not still:
+            return out
+        phase = (phase + 1) % (len(SHARES) + 1)
+        share = SHARES[phase] if phase < len(SHARES) else length
+        left = tables.put(per_batch(left, list(PIECE), grouped, _units, max(1, length // share)))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,21 +109,64 @@ def test_packing(spark, texts):
     assert packing.pack(spark, docs.limit(0)).count() == 0
 
 
-def test_best_fit_is_best_fit_decreasing():
-    r = random.Random(2)
-    for _ in range(40):
-        counts = [0] * 65
-        for s in r.choices(range(1, 65), k=r.randint(0, 200)):
-            counts[s] += 1
-        used = {first + k for _, _, n, first, each, _ in packing.best_fit(counts, 64) for k in range(-(-n // each))}
-        gaps = []
-        for s in range(64, 0, -1):
-            for _ in range(counts[s]):
-                fit = min((x for x in gaps if x >= s), default=None)
-                if fit is not None:
-                    gaps.remove(fit)
-                gaps.append((64 if fit is None else fit) - s)
-        assert len(used) == len(gaps)
+def best_fit_decreasing(sizes, length):
+    gaps = []
+    for s in sorted(sizes, reverse=True):
+        fit = min((x for x in gaps if x >= s), default=None)
+        if fit is not None:
+            gaps.remove(fit)
+        gaps.append((length if fit is None else fit) - s)
+    return len(gaps)
+
+
+def test_matched_is_the_sweep():
+    import numpy as np
+
+    rng = random.Random(2)
+    for _ in range(200):
+        kinds = [rng.randint(0, 1) for _ in range(rng.randint(0, 40))]
+        free, want = [], {}
+        for i, k in enumerate(kinds):
+            if k == 0:
+                free.append(i)
+            elif free:
+                want[i] = free.pop()
+        gaps, units = packing.matched(np.array(kinds, np.int64))
+        assert dict(zip(units.tolist(), gaps.tolist())) == want
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_sweep_round_over_ranges_is_one_sweep(spark, parts):
+    """Whatever the ranges, each unit gets the smallest gap that larger units have left."""
+    rng = random.Random(parts)
+    units = [(i, rng.randint(1, 30)) for i in range(300)] + [(1000 + i, 9) for i in range(200)]
+    gaps = [(i, rng.randint(1, 40)) for i in range(200)] + [(1000 + i, 9) for i in range(90)]
+    made, n = packing.sweep_round(Tables(spark, "test"), spark.createDataFrame(units, "unit long, size long"), spark.createDataFrame(gaps, "seq long, gap long"), parts)
+    free, want = [], {}
+    for size, kind, i in sorted([(-s, 1, i) for i, s in units] + [(-g, 0, i) for i, g in gaps]):
+        if kind == 0:
+            free.append(i)
+        elif free:
+            want[i] = free.pop()
+    rows = made.collect()
+    assert {r["unit"]: r["seq"] for r in rows if r["unit"] is not None and r["seq"] is not None} == want and n == len(want)
+    assert sorted(r["unit"] for r in rows if r["unit"] is not None) == sorted(i for i, _ in units)
+    assert sorted(r["seq"] for r in rows if r["seq"] is not None) == sorted(i for i, _ in gaps)
+
+
+def test_packing_fills_like_best_fit_decreasing(spark):
+    """Many sizes, a third of them one size, long texts of many sequences; ranges of few rows, so that they hand on."""
+    rng = random.Random(3)
+    sizes = [rng.randint(1, 60) for _ in range(250)] + [0] * 150 + [63] * 20 + [rng.randint(100, 700) for _ in range(6)]
+    docs = docs_of(spark, ["the " * n for n in sizes])
+    rows = packing.pack(spark, docs, length=64, range_=40).collect()
+    place = {}
+    for r in rows:
+        place.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in place.values():
+        assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 64
+    assert sum(r["length"] for r in rows) == sum(n + 1 for n in sizes)
+    assert len(place) <= 1.02 * best_fit_decreasing([r["length"] for r in rows], 64) + 1
 
 
 def test_encoder_equals_tokenizer(texts):
@@ -407,6 +450,50 @@ def test_secrets_of_any_length(spark):
         assert row["spans"] == f"weak_access:0:9,weak_secret:14:{14 + n}" + (f",endpoint:{end}:{end + 24}" if n < 380 else "")
 
 
+def linked_by_brute_force(text, scope=400):
+    """All spans and links of a text, each part held against each."""
+    python = [k[1].replace("(?i)", "") for k in secrets.KINDS]
+    found = [(m.start(), k, m.end()) for k, p in enumerate(python) for m in re.finditer(p, text, re.I if secrets.KINDS[k][1].startswith("(?i)") else 0) if k or len(m[2]) >= 6]
+    strong = [x for x in found if x[1] < 3]
+    crosses = lambda x, some: any(y != x and y[0] < x[2] and x[0] < y[2] for y in some)
+    ends = [x for x in found if x[1] == 5]
+    weak = sorted(x for x in found if x[1] in (3, 4) and not crosses(x, strong + ends))
+    weak = [x for i, x in enumerate(weak) if all(y[2] <= x[0] for y in weak[:i])]
+    parts = sorted(strong + [x for x in ends if not crosses(x, strong)] + weak)
+    role = lambda x: secrets.KINDS[x[1]][2]
+    say = lambda x: f"{secrets.KINDS[x[1]][0]}:{x[0]}:{x[2]}"
+    spans, links = [], []
+    for x in parts:
+        near = {r: min(((abs(y[0] - x[0]), y[1], y[0], y[2]) for y in parts if y != x and role(y) == r and abs(y[0] - x[0]) <= scope), default=None) for r in secrets.ROLES}
+        name = {r: n and say((n[2], n[1], n[3])) for r, n in near.items()}
+        if x[1] == 4:
+            to = name["identifier"] or name["endpoint"]
+        elif x[1] == 5:
+            to = name["identifier"] and name["secret"] and f"{name['identifier']}&{name['secret']}"
+        else:
+            to = name["secret"]
+        if x[1] < 3:
+            spans.append(say(x))
+        elif to:
+            spans.append(say(x))
+            links.append(f"{say(x)}>{to}")
+    return ",".join(spans), ",".join(links)
+
+
+def test_secrets_link_what_brute_force_links(spark):
+    r = random.Random(12)
+    kinds = [lambda: "AKIA" + "".join(r.choices("ABC123", k=16)), lambda: f"password={r.randint(10**5, 10**9)}", lambda: f"user: bob{r.randint(0, 9)}", lambda: "Zq3xT9bV1mK8" + str(r.randint(10**9, 10**10)), lambda: f"https://h{r.randint(0, 99)}.example.com/some-long-path-of-{r.randint(10**5, 10**6)}", lambda: "%032x" % r.getrandbits(128)]
+    texts = ["see https://example.com/articles/some-long-slug-2024", "https://a.b/Zq3xT9bV1mK8sD2fG7hJ user: x", "😀 user: bob " + "Zq3xT9bV1mK8sD2fG7hJ"]
+    for _ in range(60):
+        texts.append(" ".join(r.choice(kinds)() if r.random() < 0.12 else r.choice(["far", "away", "word " * r.randint(1, 40)]) for _ in range(r.randint(1, 80))))
+    texts += [texts[5], texts[5]]
+    rows = secrets.scan(spark, docs_of(spark, texts)).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        assert (row["spans"], row["links"]) == linked_by_brute_force(texts[row["doc_id"]])
+    assert sum(r["n_linked"] for r in rows) > 30 and rows and {r["doc_id"]: r["spans"] for r in rows}[0] == ""
+
+
 def test_language_is_calibrated_on_every_training_text(spark):
     import numpy as np
 
