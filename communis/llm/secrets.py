@@ -121,14 +121,13 @@ def scan(spark: SparkSession, docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     weak_rows = spans.groupBy("row").agg(F.max(~strong).alias("weak")).where("weak").select("row")
     met = _linked(spans.join(weak_rows, "row", "left_semi"), scope).where(~strong)
     identifier, secret, endpoint = map(F.col, ROLES)
-    text = lambda x: F.concat_ws(":", _name(x["kind"]), x["start"].cast("string"), x["end"].cast("string"))
+    text = lambda x: F.when(x.isNotNull(), F.concat_ws(":", _name(x["kind"]), x["start"].cast("string"), x["end"].cast("string")))
     to = (
         F.when(F.col("kind") == WEAK_SECRET, F.coalesce(text(identifier), text(endpoint)))
-        .when(F.col("kind") == ENDPOINT, F.when(identifier.isNotNull() & secret.isNotNull(), F.concat_ws("&", text(identifier), text(secret))))
-        .otherwise(F.when(secret.isNotNull(), text(secret)))
+        .when(F.col("kind") == ENDPOINT, F.concat(text(identifier), F.lit("&"), text(secret)))
+        .otherwise(text(secret))
     )
-    guard = F.when(F.col("kind") == WEAK_SECRET, identifier.isNotNull() | endpoint.isNotNull()).otherwise(F.lit(True))
-    linked = met.where(guard).select("row", "kind", "start", "end", to.alias("to")).where("to IS NOT NULL")
+    linked = met.select("row", "kind", "start", "end", to.alias("to")).where("to IS NOT NULL")
     kept = spans.where(strong).withColumn("to", F.lit(None).cast("string")).unionByName(linked)
     one = F.struct("start", "kind", F.concat_ws(":", _name(F.col("kind")), F.col("start").cast("string"), F.col("end").cast("string")).alias("text"), "to")
     by_row = kept.groupBy("row").agg(F.sort_array(F.collect_list(one)).alias("all"))
