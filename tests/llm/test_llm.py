@@ -241,17 +241,83 @@ def test_fingerprints(spark, texts):
     assert fingerprints.compare_with_edited(spark, docs_of(spark, texts).limit(0)).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
+def plain_kneser_ney(texts, order):
+    """p(gram), by the textbook: absolute discounts, raw counts at the top, numbers of left neighbours below."""
+    levels = {order: {}}
+    for t in texts:
+        for w in t.lower().split():
+            p = " " * (order - 1) + w + " "
+            for i in range(len(w) + 1):
+                levels[order][p[i : i + order]] = levels[order].get(p[i : i + order], 0) + 1
+    for k in range(order - 1, 0, -1):
+        levels[k] = {}
+        for g in levels[k + 1]:
+            levels[k][g[1:]] = levels[k].get(g[1:], 0) + 1
+    cut = {}
+    for k, level in levels.items():
+        one, two = (sum(n == x for n in level.values()) for x in (1, 2))
+        cut[k] = min(0.95, max(0.1, one / (one + 2 * two))) if one and two else 0.75
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / 0x110000
+        own = [n for x, n in levels[k].items() if x[:-1] == g[:-1]]
+        if not own:
+            return p(g[1:])
+        return (max(levels[k].get(g, 0) - cut[k], 0) + cut[k] * len(own) * p(g[1:])) / sum(own)
+
+    return p
+
+
+def test_kneser_ney_is_the_textbooks_and_sums_to_one(spark):
+    t = Tables(spark, "test")
+    learned = {"x": ["banana bandana cab ab a", "banana Übung"], "y": ["cabs abba", "zzz"], "-": ["queer bandits", "a"]}
+    rows = [(c, text) for c, some in learned.items() for text in some] + [(None, "nothing"), ("x", None), ("y", "")]
+    counts = t.put(kneser_ney.count_grams(spark.createDataFrame(rows, "cls string, text string"), 3))
+    found = kneser_ney.probabilities(t, t.put(kneser_ney.wide(counts, [["x"], ["y"], ["x", "y"]])), 3, 3).collect()
+    assert {r["gram"] for r in found} == {(f"  {w} ")[i : i + 3] for some in learned.values() for text in some for w in text.lower().split() for i in range(len(w) + 1)}
+    for i, some in enumerate((learned["x"], learned["y"], learned["x"] + learned["y"])):
+        p = plain_kneser_ney(some, 3)
+        assert all(abs(r[f"p{i}"] - p(r["gram"])) < 1e-9 for r in found)
+        letters = sorted({c for text in some for c in text.lower()} | {" "})
+        for head in ("ba", "an", "zz", " b", "qq"):
+            assert abs(sum(p(head + c) for c in letters) + (0x110000 - len(letters)) * p(head + "\u4e00") - 1) < 1e-9
+
+
+def test_toxicity_differences_are_the_models(spark):
+    """Differences by word, from the labelled sample's arrays, against the whole models in plain form."""
     import numpy as np
 
-    words = pa.array(["banana", "bandana", "cab", "ab", "a"])
-    batch = pa.RecordBatch.from_arrays([pa.array(["x"] * 5), words], ["cls", "text"])
-    out = kneser_ney._counter({}, 3)(batch)
-    model = kneser_ney.fit(kneser_ney.gram_matrix(out["gram"], 3), np.array(out["n"], float)[:, None], alphabet=1000)
-    for head in ("ba", "an", "zz", " b"):
-        rows = kneser_ney.gram_matrix([head + c for c in map(chr, range(32, 128))], 3)
-        total = float(np.exp(model.of_matrix(rows)).sum())
-        assert 0.7 < total < 1.05
+    r = random.Random(13)
+    texts = [sentence(r, 30) for _ in range(12)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, toxic int")
+    model, _ = toxicity.train(Tables(spark, "test"), docs, labels)
+    from pyspark.sql import functions as F
+
+    fold = {x["doc_id"]: x["f"] for x in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3)).alias("f")).collect()}
+    seen = [[texts[i] for i in range(9) if i % 2 == c and fold[i] > 0 and zlib.crc32(str(i).encode()) % 3 != 1] for c in (0, 1)]
+    shared, tops = plain_kneser_ney(texts, 4), [plain_kneser_ney(x, 5) for x in seen]
+
+    def top(c, g):
+        level = {}
+        for t in seen[c]:
+            for w in t.lower().split():
+                p = "    " + w + " "
+                for i in range(len(w) + 1):
+                    level[p[i : i + 5]] = level.get(p[i : i + 5], 0) + 1
+        one, two = (sum(n == x for n in level.values()) for x in (1, 2))
+        cut = min(0.95, max(0.1, one / (one + 2 * two))) if one and two else 0.75
+        own = [n for x, n in level.items() if x[:-1] == g[:-1]]
+        return (max(level.get(g, 0) - cut, 0) + cut * len(own) * shared(g[1:])) / sum(own) if own else shared(g[1:])
+
+    assert tops and all(seen)
+    words = ["cat", "mat", "zebra", "dog12", "ca"]
+    for w, got in zip(words, kneser_ney.word_sums(pa.array(words), 5, model.value)):
+        p = "    " + w + " "
+        want = sum(np.log(top(1, p[i : i + 5]) / top(0, p[i : i + 5])) for i in range(len(w) + 1))
+        assert abs(got - want) < 1e-4
 
 
 def test_toxicity_learns_and_leaves_null_alone(spark):
@@ -494,28 +560,35 @@ def test_secrets_link_what_brute_force_links(spark):
     assert sum(r["n_linked"] for r in rows) > 30 and rows and {r["doc_id"]: r["spans"] for r in rows}[0] == ""
 
 
-def test_language_is_calibrated_on_every_training_text(spark):
+def test_language_is_calibrated_on_every_text_by_models_that_have_not_seen_it(spark):
     import numpy as np
+    from pyspark.sql import functions as F
 
     r = random.Random(8)
-    rows = [(sentence(r, r.randint(5, 40)), "en") for _ in range(40)] + [(sentence(r, 20, ["bala", "mana", "tala"]), "aa") for _ in range(3)] + [("12 !?", "aa")]
-    rows += [rows[0]] * 20
-    model, names, usual = language.train(Tables(spark, "test"), spark.createDataFrame(rows, "text string, lang string"))
-    assert set(usual) == {"en", "aa"}
-    who = language.Identifier(model, names, {})
-    for c in names:
-        h = [x[names.index(c)] for x in who.entropies(pa.array([t for t, lang in rows if lang == c])) if x is not None]
-        assert np.allclose(usual[c], (np.mean(h), max(np.std(h), 0.05)))
-
-
-def test_counts_keep_every_gram(spark):
-    """More distinct grams than the 1,000,000 and 2,000,000 that were once the most, nearly all of them seen once."""
-    from pyspark.sql import functions as F
+    rows = [(sentence(r, r.randint(5, 20)), "en") for _ in range(20)] + [(sentence(r, 20, ["bala", "mana", "tala"]), "aa") for _ in range(4)] + [("12 !?", "aa"), ("queer text", None)]
+    rows += [rows[0]] * 10
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    usual = language.Models(Tables(spark, "test"), docs).usual
+    fold = {x["text"]: x["f"] for x in docs.select("text", F.pmod(F.xxhash64("text"), F.lit(2)).alias("f")).collect()}
+    for c in ("en", "aa"):
+        h = []
+        for f in (0, 1):
+            p = plain_kneser_ney([t for t, lang in rows if lang == c and fold[t] != f], 4)
+            for t in [t for t, lang in rows if lang == c and fold[t] == f and t != "12 !?"]:
+                grams = [(f"   {w} ")[i : i + 4] for w in t.lower().split() for i in range(len(w) + 1)]
+                h.append(-sum(np.log(p(g)) for g in grams) / len(grams))
+        assert np.allclose(usual[c], (np.mean(h), max(np.std(h), 0.05)), atol=1e-4)
+
+
+def test_language_by_joins_is_that_by_arrays(spark):
+    """Repeated, empty, null and long texts, null ids and langs: the same rows whether models are sent or joined."""
+    r = random.Random(14)
+    rows = [(i, sentence(r, r.randint(1, 60), ["bala", "mana", "x9"] if i % 2 else ["gotto", "nolo"]), "ab"[i % 2]) for i in range(40)]
+    rows += [(100 + i, rows[0][1], "a") for i in range(20)] + [(200, None, "a"), (201, "", "b"), (202, "12", None), (None, "mana gotto", None), (203, "bala " * 5000, None), (203, "bala " * 5000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    one, two = (sorted(language.identify(spark, docs, most).collect(), key=repr) for most in (1 << 20, 0))
+    assert len(one) == len(rows) == len(two)
+    for x, y in zip(one, two):
+        assert (x["doc_id"], x["held_out"], x["lang_pred"], x["rejected"]) == (y["doc_id"], y["held_out"], y["lang_pred"], y["rejected"]) and abs(x["score"] - y["score"]) < 1e-6
+
 
-    n = 2_100_000
-    letters = F.lit("".join(map(chr, range(0x4E00, 0x4E00 + 150))))
-    word = F.concat(*[F.substr(letters, (F.floor(F.col("id") / k) % 150 + 1).cast("int"), F.lit(1)) for k in (1, 150, 22500, 3375000)])
-    df = spark.range(n).groupBy((F.col("id") % 40).alias("k")).agg(F.concat_ws(" ", F.collect_list(word)).alias("text")).select(F.lit("all").alias("cls"), "text")
-    grams, names, counts = kneser_ney.collect_counts(Tables(spark, "test"), df, {}, 4)
-    assert names == ["all"] and counts.sum() == 5 * n
-    assert len(grams) == grams.nunique() >= n and (counts == 1).sum() >= n
