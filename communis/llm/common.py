@@ -32,10 +32,23 @@ def free_memory() -> None:
         trim(0)
 
 
+#: Most bytes of an Arrow batch, as a task holds several copies of one; a longer text is a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's size of Arrow batches to BATCH_BYTES, if it is larger."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).removesuffix("b")
+    if not now.isdecimal() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def per_batch(df: DataFrame, columns: list[str], schema: str, make, *args) -> DataFrame:
     """mapInArrow over `columns`; make(*args) runs once a task and gives a function from a record batch to a dict of
     columns, an Arrow table or None; if it has a method `rest`, that gives the last of them."""
     made = T._parse_datatype_string(schema)
+    small_batches(df.sparkSession)
 
     def run(batches):
         import pyarrow as pa
@@ -57,7 +70,33 @@ def per_batch(df: DataFrame, columns: list[str], schema: str, make, *args) -> Da
         del step, batch
         free_memory()
 
-    return df.select(*columns).mapInArrow(run, made)
+    return df.select(*map(quoted, columns)).mapInArrow(run, made)
+
+
+def quoted(column: str):
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """`name`, or a longer one that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Rows beyond which a key is hot, if they are also more than this share of all: so there are at most 1000 hot keys.
+HOT_ROWS, HOT_SHARE = 10_000, 1000
+
+
+def join_split(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """left join right on a key that is unique in right, which has in column n how many of the `total` rows of left have
+    the key. Hot keys are at most HOT_SHARE and are broadcast, so that their rows stay where they are."""
+    most = max(HOT_ROWS, total // HOT_SHARE)
+    hot = F.broadcast(right.where(F.col(n) > most).drop(n))
+    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(n) <= most).drop(n), key)
+    return cold.unionByName(left.join(hot, key))
 
 
 def bucket_of(column: str, modulus: int):
@@ -68,9 +107,9 @@ def bucket_of(column: str, modulus: int):
 def components(tables: Tables, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of the graph of `edges` (a, b long): rows (node, root) for every node that isn't a root.
 
-    Alternating large-star and small-star rounds; each is a partial aggregate and a join on the node, so a hub's edges
-    are split like any skewed join. Every round is written to the shared folder. The number of rounds grows with the
-    logarithm of the graph; reaching `rounds` is an error, not a silent stop.
+    Alternating large-star and small-star rounds; each is a partial aggregate and a join on the node, where a hub's edges
+    stay where they are. Every round is written to the shared folder. The number of rounds grows with the logarithm of
+    the graph; reaching `rounds` is an error, not a silent stop.
     """
     big = F.greatest("a", "b").alias("a")
     small = F.least("a", "b").alias("b")
@@ -79,9 +118,9 @@ def components(tables: Tables, edges: DataFrame, rounds: int = 60) -> DataFrame:
     seen = now.agg(mark).first()[0]
     for _ in range(rounds):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        lower = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_split(both, least, "u", "n", 2 * seen[0]).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        lower = large.groupBy("a").agg(F.min("b").alias("m"))  # a node has few larger stars: those of its neighbours' roots
         linked = large.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         nxt = tables.put(linked.union(lower.select("a", F.col("m").alias("b"))).distinct())
         tables.drop(now)

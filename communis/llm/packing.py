@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Tables, per_batch, table
-from .words import encode_words, expand
+from .words import Lists, encode_words
 
 LENGTH, END = 4096, 1
 #: Most tokens of a unit of small pieces, by phase, as parts of a sequence; the last phase has single pieces.
 SHARES = (8, 64, 512)
 #: Rows of a range, about: ranges are as many as their rows need, up to the session's number of shuffle partitions.
 RANGE = 1 << 16
+#: Words whose ids are laid out at once.
+PART = 1 << 17
 
 
 def vocabulary() -> str:
@@ -95,13 +97,19 @@ class Encoder:
         """Yields the ids of each string of an Arrow array."""
         import pyarrow.compute as pc
 
+        import numpy as np
+
         special = pc.any(pc.match_substring(texts, "<|")).as_py()  # special tokens are told by their case
         for words, codes, ends in encode_words(texts, split="ascii", lower="" if special else "ascii", most=8 << 20):
-            ids, done = expand(codes, ends, self.lists(words.to_pylist()))
-            begin = 0
-            for end in done:
-                yield ids[begin:end]
-                begin = end
+            lists = Lists(self.lists(words.to_pylist()))
+            parts = np.searchsorted(ends, np.arange(PART, ends[-1] if len(ends) else 0, PART))  # texts of about PART words
+            for lo, hi in zip(np.r_[0, parts], np.r_[parts, len(ends)]):
+                first = int(ends[lo - 1]) if lo else 0
+                ids, done = lists.of(codes[first : int(ends[hi - 1]) if hi else 0], ends[lo:hi] - first)
+                begin = 0
+                for end in done:
+                    yield ids[begin:end]
+                    begin = end
 
 
 def _pieces(path: str, length: int, end: int):

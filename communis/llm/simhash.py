@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, components, per_batch, table
+from .common import Tables, components, fresh, join_split, per_batch, quoted, table
 from .words import encode_words
 
 #: Generator polynomial of the perfect [23,12] code (fixed value).
@@ -364,17 +364,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = 3) -> Da
 
     Fingerprints: fingerprint64. Null and empty texts and texts of blanks have fingerprint 0 and are linked like any
     other. component_id is the smallest doc_id that links reach, null where all are null. Repeated rows stay repeated;
-    other columns are ignored. An empty table gives no rows.
+    other columns are ignored, whatever their names. Very long texts are read whole. An empty table gives no rows.
     """
     tables = Tables(spark, "simhash")
     rows = tables.put(per_batch(docs, ["doc_id", "text"], "doc_id long, node long", _fingerprints))
-    nodes = tables.put(rows.groupBy("node").agg(F.min("doc_id").alias("first")))
+    nodes = tables.put(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     edges = tables.put(links(tables, nodes.select("node", F.col("node").alias("f0")), ["f0"], radius))
     roots = components(tables, edges)
-    member = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    least = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = member.join(least, "root").select("node", "component_id")
-    return rows.join(named, "node").select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
+    member = tables.put(nodes.join(roots, "node", "left").select("node", "n", "first", F.coalesce("root", "node").alias("root")))
+    least = member.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    total, kinds = member.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    named = join_split(member, least, "root", "size", kinds).select("node", "n", "component_id")
+    return join_split(rows, named, "node", "n", total).select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def _jaccard(width: int):
@@ -469,7 +470,8 @@ def band_keys(n: int, text, shingle, bands: int):
 
 
 def _bands(width: int, bands: int):
-    """Rows (band, node): every key of every distinct text of a batch."""
+    """Rows (band, node, least): every key of every distinct text of a batch. Of the texts that share a key within the
+    batch only the least goes on under it; the others name that one as their least, once, under a number of their own."""
 
     def step(batch):
         import numpy as np
@@ -478,7 +480,19 @@ def _bands(width: int, bands: int):
         nodes, first = np.unique(batch.column("node").to_numpy(zero_copy_only=False), return_index=True)
         texts = batch.column("text").take(pa.array(first))
         keys = [band_keys(n, text, shingle, bands) for n, text, shingle in shingle_sets(texts, width)]
-        return {"band": np.concatenate(keys).view(np.int64).ravel(), "node": np.repeat(nodes, bands)} if keys else None
+        if not keys:
+            return None
+        band, node = np.concatenate(keys).view(np.int64).ravel(), np.repeat(nodes, bands)
+        order = np.lexsort((node, band))
+        band, node = band[order], node[order]
+        lead = np.r_[True, band[1:] != band[:-1]]
+        least = node[np.maximum.accumulate(np.where(lead, np.arange(len(band)), 0))]
+        pairs = np.unique(np.stack([least[~lead], node[~lead]], axis=1), axis=0)
+        spread = (pairs[:, 1].view(np.uint64) * np.uint64(P1)).view(np.int64)
+        return {
+            "band": np.r_[band[lead], spread], "node": np.r_[node[lead], pairs[:, 1]],
+            "least": pa.concat_arrays([pa.nulls(int(lead.sum()), pa.int64()), pa.array(pairs[:, 0])]),
+        }
 
     return step
 
@@ -642,29 +656,55 @@ def node_filter(nodes: DataFrame, words: int = FILTER_WORDS):
     return out
 
 
-def _passing(held, words: int, wanted: bool):
+def _passing(held, bits: list[str], wanted: bool):
     def step(batch):
         import numpy as np
         import pyarrow as pa
 
         keep = np.ones(batch.num_rows, bool)
-        for i in (1, 2, 3):
-            b = batch.column(f"__b{i}").to_numpy(zero_copy_only=False)
+        for c in bits:
+            b = batch.column(c).to_numpy(zero_copy_only=False)
             keep &= (held[b >> 6] >> (b & 63)) & 1 == 1
-        return pa.Table.from_batches([batch]).filter(pa.array(keep == wanted)).drop_columns(["__b1", "__b2", "__b3"])
+        return pa.Table.from_batches([batch]).filter(pa.array(keep == wanted)).drop_columns(bits)
 
     return step
 
 
-def passing(df: DataFrame, held, wanted: bool = True) -> DataFrame:
-    """Rows of df (__node and others) whose node the filter may have; with wanted=False, those it surely hasn't."""
-    words = len(held)
-    rows = df.withColumns({f"__b{i}": F.pmod(F.xxhash64("__node", F.lit(i)), F.lit(words * 64)) for i in (1, 2, 3)})
-    return per_batch(rows, rows.columns, df._jdf.schema().toDDL(), _passing, held, words, wanted)
+def passing(df: DataFrame, key: str, held, wanted: bool = True) -> DataFrame:
+    """Rows of df whose node (column `key`) the filter may have; with wanted=False, those it surely hasn't."""
+    words, bits = len(held), []
+    for i in (1, 2, 3):
+        bits.append(fresh(df.columns + bits, f"bit{i}"))
+    rows = df.withColumns({c: F.pmod(F.xxhash64(key, F.lit(i)), F.lit(words * 64)) for i, c in enumerate(bits, 1)})
+    return per_batch(rows, rows.columns, df._jdf.schema().toDDL(), _passing, held, bits, wanted)
+
+
+def _classed(tables: Tables, docs: DataFrame, key: str, hashed) -> tuple[DataFrame, DataFrame]:
+    """(docs with the class of their text in column `key`, a table (node, id, size) of the classes: least doc_id, rows).
+
+    A class is a hash of 64 bits. Where different texts, told apart by a second hash, share one, both hashes make a new
+    one, so that no text is taken for another; such texts are very few, if any."""
+    text, second = F.coalesce(F.col("text"), F.lit("")), fresh([*docs.columns, key], "second")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+
+    def classes(rows):
+        sums = [F.min(order).alias("id"), F.count(F.lit(1)).alias("size"), F.min(second).alias("lo"), F.max(second).alias("hi")]
+        return tables.put(rows.groupBy(F.col(key).alias("node")).agg(*sums))
+
+    keyed = docs.withColumns({key: hashed(text), second: F.xxhash64(F.lit(11), text)})
+    rows = classes(keyed.select("doc_id", key, second))
+    shared = tables.put(rows.where("lo <> hi").select(F.col("node").alias(key)))
+    if not shared.isEmpty():
+        hit = fresh([*docs.columns, key, second], "hit")
+        keyed = keyed.join(shared.withColumn(hit, F.lit(True)), key, "left")
+        keyed = keyed.withColumn(key, F.when(F.col(hit), F.xxhash64(second, key)).otherwise(F.col(key)))
+        rows = classes(keyed.select("doc_id", key, second))
+    return keyed.select(*map(quoted, docs.columns), key), rows.select("node", "id", "size")
 
 
-def deduplicate(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """docs without near copies: of each group the row with the smallest doc_id stays, with all its columns.
+def deduplicate(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, width: int = 5, hashed=F.xxhash64) -> DataFrame:
+    """docs without near copies: of each group the row with the smallest doc_id stays, with all its columns; of rows that
+    repeat that doc_id and text, the one whose other columns come first as JSON text.
 
     Texts are classed by content first, so copies never meet pairwise. Classes whose sets of `width`-word shingles agree
     in a band of least hashes are candidates, which leaves out a pair of the similarity with a chance of MISS at most,
@@ -672,21 +712,22 @@ def deduplicate(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, w
     search links all of a band's texts to the least of them; where a part of these links holds several proven groups, a
     second one deals the part's sets of shingles into blocks, tests every candidate pair between groups where two blocks
     meet, and reports a forest, so no candidate is lost and no pairs are expanded. Texts move only for pairs whose sketches (counts of
-    shingles by bins) don't rule the similarity out. Null text counts as empty. Repeated rows are copies.
-    Columns and their order are kept. Only rows of classes that have links or copies are joined; a filter of fixed size
-    lets the others stay where they are.
+    shingles by bins) don't rule the similarity out. Null, empty and blank texts are one class of no words. Repeated rows
+    are copies; a null doc_id comes after all others. Columns and their order are kept, whatever their names; an empty
+    table gives no rows. Only rows of classes that have links or copies are joined; a filter of fixed size lets the others
+    stay where they are.
     """
     tables = Tables(spark, "dedup")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("__node", F.xxhash64(text))
-    rows = tables.put(keyed.select("doc_id", F.col("__node").alias("node")).groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n")))
+    key = fresh(docs.columns, "node")
+    keyed, rows = _classed(tables, docs, key, hashed)
+    named_text = keyed.select(F.col(key).alias("node"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     bands = bands_for(similarity)
-    keys = per_batch(keyed.select(F.col("__node").alias("node"), text.alias("text")), ["node", "text"], "band long, node long", _bands, width, bands)
-    top = F.min("node").over(Window.partitionBy("band"))
+    keys = per_batch(named_text, ["node", "text"], "band long, node long, least long", _bands, width, bands)
+    top = F.coalesce("least", F.min("node").over(Window.partitionBy("band")))
     edges = tables.put(keys.select(top.alias("a"), F.col("node").alias("b")).where("a <> b").distinct())
-    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    some = passing(keyed.select("__node", text.alias("text")), node_filter(ends))
-    texts = some.join(ends.withColumnRenamed("node", "__node"), "__node", "left_semi").dropDuplicates(["__node"]).withColumnRenamed("__node", "node")
+    ends = tables.put(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct())
+    some = passing(named_text, "node", node_filter(ends))
+    texts = some.join(ends, "node", "left_semi").dropDuplicates(["node"])
     texts = tables.put(per_batch(texts, ["node", "text"], "node long, text string, size long, bins binary", _sketched, width))
 
     def side(end, **named):
@@ -713,17 +754,20 @@ def deduplicate(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, w
         dealt = dealt.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "node")
         more = per_batch(dealt, ["part", "i", "j", "node", "label", "own", "hashes", "keys"], "a long, b long", _similar_across, similarity)
         roots = components(tables, sure.union(more))
-    grouped = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id"), F.col("node"))
-    stay = grouped.groupBy("root").agg(F.min(order).alias("one"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("kinds"))
-    stay = tables.put(stay.select(F.col("one.doc_id").alias("__id"), F.col("one.node").alias("__stay"), "root", "size", "kinds").where("size > 1"))
-    touched = rows.where("n > 1").select("node").union(grouped.join(stay.select("root"), "root", "left_semi").select("node")).distinct()
+    grouped = tables.put(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    one = F.struct("id", "node")
+    stay = grouped.groupBy("root").agg(F.min(one).alias("one"), F.sum("size").alias("size")).where("size > 1")
+    stay = tables.put(stay.select("root", F.col("one.id.id").alias("id"), F.col("one.node").alias("stay")))
+    touched = tables.put(grouped.join(stay.select("root"), "root", "left_semi").select("node"))
     held_nodes = node_filter(touched)
-    alone = passing(keyed, held_nodes, wanted=False).select(*docs.columns)
-    mixed = passing(keyed, held_nodes)
-    unlinked = mixed.join(touched.select(F.col("node").alias("__node")), "__node", "left_anti").select(*docs.columns)
-    kept = mixed.join(stay, (F.col("__node") == F.col("__stay")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    once = kept.dropDuplicates(["__node", "doc_id"]).select(*docs.columns)
+    columns = [*map(quoted, docs.columns)]
+    alone = passing(keyed, key, held_nodes, wanted=False).select(*columns)
+    mixed = passing(keyed, key, held_nodes)
+    unlinked = mixed.join(touched.select(F.col("node").alias(key)), key, "left_anti").select(*columns)
+    least, kept_key = stay.select(F.col("id").alias("least"), F.col("stay").alias("kept")), F.struct(*columns)
+    kept = mixed.select(F.col(key).alias("node"), F.col("doc_id").alias("id"), kept_key.alias("whole"), F.to_json(F.struct(*columns)).alias("order"))
+    kept = kept.join(least, (F.col("node") == F.col("kept")) & F.col("id").eqNullSafe(F.col("least")), "left_semi")
+    once = kept.groupBy("node", "id").agg(F.min_by("whole", "order").alias("whole")).select("whole.*")
     return alone.unionByName(unlinked).unionByName(once)
 
 

@@ -34,16 +34,29 @@ def encode_words(texts, split: str = "utf8", lower: str = "utf8", most: int = 8
         at = end
 
 
-def expand(codes, ends, lists: list):
-    """What the words at `codes` stand for (lists of numbers), end to end, and where each text's numbers end."""
-    from itertools import chain
+class Lists:
+    """What each word of a dictionary stands for, a list of whole numbers below 2**31, end to end."""
 
-    import numpy as np
+    def __init__(self, lists: list) -> None:
+        from itertools import chain
+
+        import numpy as np
+
+        self.size = np.fromiter(map(len, lists), np.int32, len(lists))
+        self.flat = np.fromiter(chain.from_iterable(lists), np.int32, int(self.size.sum()))
+        self.begin = np.cumsum(self.size, dtype=np.int64) - self.size
 
-    size = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter(chain.from_iterable(lists), np.int64, int(size.sum()))
-    begin = np.cumsum(size) - size
-    each = size[codes]
-    done = np.cumsum(each)
-    at = np.arange(done[-1] if len(done) else 0) - np.repeat(done - each, each) + np.repeat(begin[codes], each)
-    return flat[at], np.r_[0, done][ends]
+    def of(self, codes, ends):
+        """What the words at `codes` stand for, end to end, and where each text's numbers end."""
+        import numpy as np
+
+        each = self.size[codes]
+        done = np.cumsum(each, dtype=np.int64)
+        at = np.arange(done[-1] if len(done) else 0, dtype=np.int64)
+        at += np.repeat(self.begin[codes] - done + each, each)
+        return self.flat[at], np.r_[0, done][ends]
+
+
+def expand(codes, ends, lists: list):
+    """Lists(lists).of(codes, ends)"""
+    return Lists(lists).of(codes, ends)
