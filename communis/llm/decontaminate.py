@@ -1,11 +1,14 @@
 """Operator 2: benchmark decontamination by SimHash of item-sized windows.
 
 Words are lower-case runs of letters, digits and underscores. A document's window is as many words as a benchmark item
-has. A window can only be similar to an item if enough of its shingles are shared, so every window is fingerprinted in
-which that many places have a shingle of some item of its size, wherever the item has it. A multi-index finds every item of that size within RADIUS bits of the window: the
-64 bits fall into 8 blocks, and two fingerprints within 8 * FLIPS + 7 bits agree in some block up to FLIPS bits, so
-probing each block's value with up to FLIPS bits flipped misses none. What it finds is verified by the weighted
-Jaccard similarity of the shingles, weighted by how often each occurs.
+has, from each word on. Of a window with w shingles and an item with n, a weighted Jaccard similarity of s takes
+s * (w + n) / (1 + s) common shingles at least; windows in which fewer places have a shingle of some item of their size,
+wherever the item has it, are passed over, so nothing that the exact test would accept is lost there. All others are
+fingerprinted. A multi-index finds every item of that size within RADIUS bits of the window: the 64 bits fall into 8
+blocks, and two fingerprints within 8 * FLIPS + 7 bits agree in some block up to FLIPS bits, so probing each block's value
+with up to FLIPS bits flipped misses none. What it finds is verified by the weighted Jaccard similarity of the shingles,
+weighted by how often each occurs. RADIUS is the most that the index guarantees, which is far beyond the some ten bits by
+which fingerprints of similarity 0.8 differ.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from .common import per_batch, table
 from .simhash import majority
 from .words import encode_words, expand
 
-WIDTH, SIMILARITY, RADIUS, FLIPS = 5, 0.8, 20, 2
+WIDTH, SIMILARITY, RADIUS, FLIPS = 5, 0.8, 23, 2
 #: Benchmark items held by a task at once; a larger benchmark is taken in blocks, each against all documents.
 BLOCK = 20_000
 
@@ -193,7 +196,9 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int
     similarity, first_word, words (the most similar window, the first of several).
 
     Null and empty texts hold nothing and items without words are held by nothing. Items of fewer words than a shingle
-    are one shingle; so is a document shorter than that. Repeated rows are reported each. Empty tables give no rows.
+    are one shingle; so is a document shorter than that. Very long texts are read whole. Of equally similar windows the
+    first is reported. Repeated rows are reported each; other columns are ignored, whatever their names. Empty tables give
+    no rows.
     """
     schema = "doc_id long, item_id long, similarity double, first_word int, words int"
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -205,7 +210,11 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """docs without the rows that hold a benchmark item; columns and their order are kept."""
+    """docs without the rows that hold a benchmark item; columns and their order are kept, whatever their names.
+
+    Null and empty texts stay; repeated rows are judged each; without items all rows stay, and an empty table gives no
+    rows.
+    """
 
     def make(part):
         items = Benchmark(part, width)

@@ -689,3 +689,91 @@ def test_language_by_joins_is_that_by_arrays(spark):
         assert (x["doc_id"], x["held_out"], x["lang_pred"], x["rejected"]) == (y["doc_id"], y["held_out"], y["lang_pred"], y["rejected"]) and abs(x["score"] - y["score"]) < 1e-6
 
 
+
+
+def test_decontamination_finds_rotated_and_scattered_items(spark):
+    """Items turned round, with words put in, left out and changed: whatever brute force over all windows finds."""
+    r = random.Random(32)
+    items = [(i, " ".join(f"v{r.randrange(10**6)}" for _ in range(n))) for i, n in enumerate((40, 60, 60, 90, 150))]
+    texts = []
+    for i, (_, text) in enumerate(items):
+        own = text.split()
+        for turn in (0, 5, 10, len(own) // 2):
+            w = own[turn:] + own[:turn]
+            for edits in (0, 1, 2):
+                x = list(w)
+                for _ in range(edits):
+                    at = r.randrange(len(x))
+                    x[at : at + r.randint(0, 1)] = [f"new{r.randrange(10**6)}"] * r.randint(0, 2)
+                texts.append(" ".join([f"o{r.randrange(10**6)}" for _ in range(r.randint(0, 30))] + x + [f"o{r.randrange(10**6)}" for _ in range(r.randint(0, 30))]))
+    want = set()
+    for d, t in enumerate(texts):
+        words = decontaminate.words_of(t)
+        for item, text in items:
+            own = decontaminate.words_of(text)
+            goal = decontaminate.Counter(decontaminate.shingles(own, 5))
+            if max(decontaminate.similarity(decontaminate.Counter(decontaminate.shingles(words[s : s + len(own)], 5)), goal) for s in range(max(1, len(words) - len(own) + 1))) >= 0.8:
+                want.add((d, item))
+    docs, bench = docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(spark, docs, bench).collect()} == want and len(want) > 40
+    assert decontaminate.drop_leaks(spark, docs.limit(0), bench).count() == 0 and decontaminate.drop_leaks(spark, docs, bench.limit(0)).count() == len(texts)
+
+
+def test_fingerprints_merge_and_estimate(spark):
+    """Sketches of parts merge into that of the whole; beyond k shingles, estimates are near the truth."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(33)
+    a, b = ([f"w{r.randrange(300)}" for _ in range(900)] for _ in range(2))
+    b[:600] = a[:600]
+    rows = [(" ".join(a), " ".join(b), " ".join(a[:500]), " ".join(a[496:]))]
+    df = spark.createDataFrame(rows, "a string, b string, x string, y string").select(*[fingerprints.words(F.col(c)).alias(c) for c in "abxy"])
+    df = df.select(*[fingerprints.sketch(F.col(c)).alias(c) for c in "abxy"])
+    df = df.withColumns({"ab": fingerprints.merged(F.col("a"), F.col("b")), "xy": fingerprints.merged(F.col("x"), F.col("y"))})
+    c = {n: F.col(n) for n in ("a", "b", "ab", "xy")}
+    row = df.select("a", "xy", fingerprints.resemblance(c["a"], c["b"], c["ab"]).alias("j"), fingerprints.distinct_shingles(c["a"]).alias("n"), fingerprints.containment(c["a"], c["b"], c["ab"]).alias("c")).first()
+    sh = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    p, q = sh(a), sh(b)
+    assert row["a"] == row["xy"] and len(row["a"]) == 128
+    assert abs(row["j"] - len(p & q) / len(p | q)) < 0.13 and abs(row["n"] / len(p) - 1) < 0.3 and abs(row["c"] - len(p & q) / len(p)) < 0.25
+
+
+def test_pipeline_from_end_to_end(spark, tmp_path):
+    """What stays and how it is cut, against plain versions of the stages."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from tokenizers import Tokenizer
+
+    r = random.Random(34)
+    words = [f"{a}{b}" for a in ("ba", "co", "di", "fu", "ga", "he", "lo", "mi") for b in ("ran", "sel", "tim", "vor", "nux", "pell", "dar")]
+    items = [(i, sentence(r, 40, words)) for i in range(3)]
+    texts = []
+    for i in range(120):
+        t = sentence(r, r.randint(30, 60), words).split()
+        if i % 4 == 0:
+            for _ in range(5):
+                t.insert(r.randrange(len(t)), r.choice(["vilewort", "grubnose", "mudface"]))
+        texts.append(" ".join(t))
+    texts[1] += " write to joe [at] example (dot) com or 10.0.0.1"
+    texts += [texts[5], texts[5], texts[7] + " end", f"{sentence(r, 20, words)} {items[1][1]} {sentence(r, 20, words)}", None, "", sentence(r, 6000, words)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", spark.createDataFrame(items, "item_id long, text string"))):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert 4 <= len(corpus_pipeline.STAGES) <= 5 and corpus_pipeline.ORACLE_SQL is None
+    toxic = {x["doc_id"] for x in toxicity.score(spark, docs, labels).collect() if x["predicted"]}
+    assert sum(i % 4 == 0 for i in toxic) >= 28 and sum(i % 4 > 0 for i in toxic) <= 2
+    sh = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(max(1, len(w) - 4))}
+    stay = []
+    for i, t in enumerate(texts):
+        if i not in toxic and all(len(sh(t) & sh(texts[j])) / len(sh(t) | sh(texts[j])) < 0.8 for j in stay):
+            stay.append(i)
+    for item, text in items:
+        stay = [i for i in stay if " ".join(decontaminate.words_of(text)) not in " ".join(decontaminate.words_of(texts[i] or ""))]
+    tok = Tokenizer.from_file(packing.vocabulary())
+    want = []
+    for i in stay:
+        ids = tok.encode(pii.masked(texts[i]) or "", add_special_tokens=False).ids + [1]
+        want += [(i, k, s, len(ids[s : s + 4096]), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[s : s + 4096]))) for k, s in enumerate(range(0, len(ids), 4096))]
+    assert "<EMAIL>" in pii.masked(texts[1]) and 123 not in stay
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(tuple(x)[:5] for x in rows) == want
