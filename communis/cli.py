@@ -1,7 +1,9 @@
 """Command line: communities of a graph file, or of several with one algorithm or all.
 
 python -m communis.cli detect PATH [--form undirected] [--order name] [--truth PATH] [--algorithm sync] [--out DIR]
-python -m communis.cli suite PATH... [--form net] [--all]
+python -m communis.cli suite PATH... [--form net] [--truth PATH]... [--all]
+
+--truth may be given once for each path, in their order; "none" stands for no truth.
 """
 
 from __future__ import annotations
@@ -12,23 +14,22 @@ import time
 from pyspark.sql import SparkSession
 
 from communis.functions import quality
-from communis.operators.graph import Graph, count_communities
+from communis.operators.graph import Graph
 from communis.operators.propagate import ALGORITHMS, detect
-from communis.sources.files import load_graph, load_truth, save_communities
+from communis.sources.files import coverage, load_graph, load_truth, save_communities
 
 
 def measured(graph: Graph, algorithm: str, truth: str | None = None, out: str | None = None, **how) -> dict:
     """Detects communities and gives the metric row: nodes, edges, communities, modularity, nmi (null without truth),
-    seconds of the detection, and the trace of rounds."""
+    seconds of the detection, the trace of rounds, and how many nodes the truth labels."""
     began = time.time()
     found = detect(graph, algorithm, **how)
     seconds = time.time() - began
     if out:
         save_communities(graph, found.labels, out)
-    n, m = graph.counts().first()
-    row = {"algorithm": algorithm, "nodes": n, "edges": m, "communities": count_communities(found.labels).first()[0]}
-    row["modularity"] = quality.modularity(graph.edges, found.labels).first()[0]
-    row["nmi"] = quality.nmi(load_truth(graph, truth), found.labels).first()[0] if truth else None
+    known = load_truth(graph, truth) if truth else None
+    row = {"algorithm": algorithm} | quality.metrics(graph, found.labels, known).first().asDict()
+    row["labelled"] = coverage(graph, known).first()["labelled"] if truth else None
     return row | {"seconds": round(seconds, 3), "trace": found.trace}
 
 
@@ -43,15 +44,18 @@ def main(args: list[str] | None = None) -> None:
         p.add_argument("--algorithm", default="sync", choices=ALGORITHMS)
         p.add_argument("--tie", default="hash", choices=("min", "hash"))
         p.add_argument("--seed", type=int, default=0)
-        p.add_argument("--truth")
+        p.add_argument("--truth", action="append", default=[])
+        p.add_argument("--dedupe", action="store_true", help="leave out parallel edges")
         p.add_argument("--out")
         p.add_argument("--all", action="store_true", help="every algorithm on each graph, loaded once")
     a = top.parse_args(args)
     spark = SparkSession.builder.appName("communis").getOrCreate()
-    for path in a.path:
-        graph = load_graph(spark, path, a.form, a.order)
+    if len(a.truth) > len(a.path):
+        top.error("more truths than graphs")
+    for path, truth in zip(a.path, a.truth + ["none"] * (len(a.path) - len(a.truth))):
+        graph = load_graph(spark, path, a.form, a.order, a.dedupe)
         for algorithm in [x for x in ALGORITHMS if x != "async_exact"] if a.all else [a.algorithm]:
-            print(path, measured(graph, algorithm, a.truth, None if a.all else a.out, tie=a.tie, seed=a.seed))
+            print(path, measured(graph, algorithm, None if truth == "none" else truth, None if a.all else a.out, tie=a.tie, seed=a.seed))
 
 
 if __name__ == "__main__":

@@ -56,6 +56,13 @@ def nmi(truth: DataFrame, labels: DataFrame) -> DataFrame:
     return shared.crossJoin(x).crossJoin(y).select(F.when(spread == 0, F.lit(0.0)).otherwise(-2 * F.col("u") / F.when(spread == 0, F.lit(1.0)).otherwise(spread)).alias("nmi"))
 
 
+def metrics(graph, labels: DataFrame, truth: DataFrame | None = None) -> DataFrame:
+    """One row (nodes, edges, communities, modularity, nmi); nmi is null without truth (id, label)."""
+    found = nmi(truth, labels) if truth is not None else labels.sparkSession.createDataFrame([(None,)], "nmi double")
+    number = labels.agg(F.count_distinct("label").alias("communities"))
+    return graph.counts().crossJoin(number).crossJoin(modularity(graph.edges, labels)).crossJoin(found)  # tables of one row
+
+
 def hyperbola(b: float, n: int) -> list[float]:
     """b / x at x = 0, 1, ..., n - 1; infinite at 0."""
     return [math.copysign(math.inf, b) if b else math.nan, *(b / x for x in range(1, n))][:n]

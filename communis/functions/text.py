@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def fields(line: Column, separator: str) -> Column:
     """The line split at each separator; empty fields stay."""
-    return F.split(line, separator, -1)
+    return F.split(line, rf"\Q{separator}\E", -1)
 
 
 def without_blanks(value: Column) -> Column:
@@ -17,5 +17,6 @@ def without_blanks(value: Column) -> Column:
 
 
 def leading_int(value: Column) -> Column:
-    """The integer that a text starts with, as C's readers take it ("12abc" is 12), else null."""
-    return F.regexp_extract(value, r"^\s*([+-]?[0-9]{1,9})", 1).try_cast("int")
+    """The integer (long) that a text starts with, as C's readers take it ("12abc" is 12), else null; so is one beyond a
+    long."""
+    return F.regexp_extract(value, r"^\s*([+-]?[0-9]+)", 1).try_cast("long")

@@ -13,7 +13,8 @@ def color(graph: Graph, mode: str = "reference") -> DataFrame:
 
     "reference": one pass over the neighbours in edge order; the colour moves up by one whenever a neighbour has just
     that colour, so two neighbours may share a colour. "proper": the least colour that no lower neighbour has. Each
-    wavefront colours all nodes whose lower neighbours have colours; their number is the longest path of rising ids.
+    wavefront colours all nodes whose lower neighbours have colours and is a table of its own; their number is the longest
+    path of rising ids. Edges of coloured nodes are left behind whenever half of the nodes have gone.
     """
     if mode not in ("reference", "proper"):
         raise ValueError(f"unknown mode {mode}")
@@ -22,17 +23,19 @@ def color(graph: Graph, mode: str = "reference") -> DataFrame:
     ids = graph.nodes.select("id")
     done = tables.put(ids.join(lower.select(F.col("src").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(0).alias("color")))
     n, have = graph.nodes.count(), done.count()
+    at_last = n - have  # uncoloured nodes when `lower` was last written
     step = lambda m, c: F.when(c == m, m + 1).otherwise(m)
     while have < n:
         open_ = lower.join(done.select(F.col("id").alias("src")), "src", "left_anti")
+        if 2 * (n - have) <= at_last:
+            lower, at_last = tables.put(open_), n - have
+            open_ = lower
         seen = open_.join(done.select(F.col("id").alias("dst"), "color"), "dst", "left")
         if mode == "proper":
             seen = seen.groupBy("src", "color").agg(F.min("pos").alias("pos"))
         ready = seen.groupBy("src").agg(F.count_if(F.col("color").isNull()).alias("missing"), F.collect_list(F.struct("pos", "color")).alias("near")).where("missing = 0")
         near = F.transform(F.sort_array("near"), lambda x: x["color"])
         near = near if mode == "reference" else F.sort_array(near)
-        new = ready.select(F.col("src").alias("id"), F.aggregate(near, F.lit(0), step).alias("color"))
-        made = tables.put(done.unionByName(new))
-        tables.drop(done)
-        done, have = made, made.count()
+        new = tables.put(ready.select(F.col("src").alias("id"), F.aggregate(near, F.lit(0), step).alias("color")))
+        done, have = done.unionByName(new), have + new.count()
     return done

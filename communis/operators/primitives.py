@@ -32,6 +32,23 @@ def run_lengths(votes: DataFrame) -> DataFrame:
     return votes.groupBy("src", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def lengths_of_runs(ends: DataFrame) -> DataFrame:
+    """(src, label, n): differences between the ends of runs, as run_ends has them."""
+    before = F.lag("at", 1, -1).over(Window.partitionBy("src").orderBy("at"))
+    return ends.select("src", "label", (F.col("at") - before).alias("n"))
+
+
+def number_of_runs(marked: DataFrame) -> DataFrame:
+    """One row (runs)."""
+    return marked.agg(F.count_if(F.col("last_of_run") == 1).alias("runs"))
+
+
+def scatter(labels: DataFrame, winners: DataFrame) -> DataFrame:
+    """labels (id, label) with those of winners (segment, at) put in their place."""
+    new = winners.select(F.col("segment").alias("id"), F.col("at").alias("new"))
+    return labels.join(new, "id", "left").select("id", F.coalesce("new", "label").alias("label"))
+
+
 def segmented_argmax(values: DataFrame) -> DataFrame:
     """(segment, value, at) of (segment, at, value): the largest value and the least place that has it."""
     return values.groupBy("segment").agg(F.max("value").alias("value"), F.max_by("at", F.struct(F.col("value"), -F.col("at"))).alias("at"))

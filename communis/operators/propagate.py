@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from communis.operators.coloring import color
 from communis.operators.graph import Graph
-from communis.operators.primitives import gather, initial_labels, run_lengths
+from communis.operators.primitives import boundaries, gather, initial_labels, lengths_of_runs, run_ends, run_lengths, scatter, segmented_argmax
 
 ALGORITHMS = ("sync", "async", "async_exact", "semisync", "primitives")
 MOST_ROUNDS = 500
@@ -41,11 +41,22 @@ def vote(edges: DataFrame, labels: DataFrame, tie: str = "min", seed: int = 0, t
     return labels.join(new, "id", "left").select("id", F.coalesce("new", "label").alias("label"))
 
 
+def vote_by_primitives(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """A round of votes with ties to the least label, step by step: gather, sort and mark, ends of runs, their lengths,
+    the longest of each segment, scatter. The same labels as vote's, by windows instead of hash aggregates."""
+    runs = lengths_of_runs(run_ends(boundaries(gather(edges, labels))))
+    return scatter(labels, segmented_argmax(runs.select(F.col("src").alias("segment"), F.col("label").alias("at"), F.col("n").alias("value"))))
+
+
 @dataclass
 class Result:
     labels: DataFrame
     trace: list[tuple] = field(default_factory=list)  # (round, changes, communities)
 
+    def trace_rows(self) -> DataFrame:
+        """The trace as a table (round, changes, communities), a row a round."""
+        return self.labels.sparkSession.createDataFrame(self.trace, "round int, changes long, communities long")
+
 
 def stop(counts: list[int], changes: int, nodes: int) -> bool:
     """No change; as many communities in three rounds on end; or min(nodes, MOST_ROUNDS) + 1 rounds."""
@@ -55,7 +66,8 @@ def stop(counts: list[int], changes: int, nodes: int) -> bool:
 def detect(graph: Graph, algorithm: str = "sync", tie: str = "min", seed: int = 0, batches: int = 8, coloring: str = "reference", max_rounds: int | None = None) -> Result:
     """Communities of a graph: labels (id, label), each node's own id at first, and the trace of rounds.
 
-    sync and primitives: all nodes vote on the labels of the round before. async: a repeatable pseudo-random deal of the
+    sync: all nodes vote on the labels of the round before; primitives: the same by vote_by_primitives, where ties go to
+    the least label whatever `tie` says. async: a repeatable pseudo-random deal of the
     nodes into batches, which vote one after another and see earlier batches' labels. async_exact: nodes one by one, for
     graphs that fit a task. semisync: colour classes one after another. Nodes without out-neighbours keep their label.
     Each round's labels are a table in the shared folder, read with one action that counts changes and communities.
@@ -73,8 +85,10 @@ def detect(graph: Graph, algorithm: str = "sync", tie: str = "min", seed: int =
     out = Result(labels)
     while n and (max_rounds is None or len(out.trace) < max_rounds):
         turn, before = len(out.trace) + 1, labels
-        if algorithm in ("sync", "primitives"):
+        if algorithm == "sync":
             labels = tables.put(vote(edges, labels, tie, seed, turn))
+        elif algorithm == "primitives":
+            labels = tables.put(vote_by_primitives(edges, labels))
         elif algorithm == "async_exact":
             labels = tables.put(_one_by_one(graph, labels, tie, seed, turn))
         elif algorithm == "async":

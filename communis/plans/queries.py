@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from communis.functions import quality
+from communis.functions.text import fields, leading_int, without_blanks
 from communis.operators import centrality, coloring, graph as g, order, primitives as p, propagate
-from communis.sources import tables as t
+from communis.sources import files, tables as t
 
-SOURCES = 5
-DEPTH = 4
+#: Levels that the SQL of searches unrolls; the graphs of the tables have fewer, and empty levels add nothing.
+DEPTH = 7
 
 
 def _labels(graph: g.Graph, rounds: int) -> DataFrame:
@@ -45,8 +46,58 @@ def _marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.marginals(_cells(spark, sf_dir))
 
 
-def _first_sources(graph: g.Graph) -> DataFrame:
-    return graph.nodes.where(F.col("id") < SOURCES).select("id")  # as the SQL of bfs_levels has it
+def _hub(graph: g.Graph) -> DataFrame:
+    """The node of most edges, of several the first: where a search starts."""
+    return graph.nodes.agg(F.min_by("id", F.struct(-F.col("degree"), F.col("id"))).alias("id"))
+
+
+def _written(write: Callable, read: Callable) -> Callable:
+    """Writes the trade graph to a file in the shared folder and reads it back."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        graph = t.trade(spark, sf_dir)
+        path = f"{graph.tables.top}/file"
+        write(spark, sf_dir, graph, path)
+        return read(spark, graph, path)
+
+    return run
+
+
+def _save_pairs(spark, sf_dir, graph, path) -> None:
+    lines = t.trade_pairs(spark, sf_dir).select(F.concat("a", F.lit(" \t"), "b", F.lit("\tmore")).alias("value"))
+    spark.createDataFrame([("# customers and suppliers",)], "value string").unionByName(lines).write.text(path)
+
+
+def _save_truth(spark, sf_dir, graph, path) -> None:
+    truth = t.trade_truth(spark, sf_dir, graph).join(graph.nodes.select("id", "name"), "id")
+    truth.select(F.concat("name", F.lit("\t"), F.col("label").cast("string"), F.lit("x\t")).alias("value")).write.text(path)
+
+
+def _edges_by_name(graph: g.Graph) -> DataFrame:
+    a, b = graph.nodes.select(F.col("id").alias("src"), F.col("name").alias("a")), graph.nodes.select(F.col("id").alias("dst"), F.col("name").alias("b"))
+    return graph.edges.join(a, "src").join(b, "dst").select("a", "b", "weight")
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = t.trade(spark, sf_dir)
+    found = quality.metrics(graph, _labels(graph, 2), t.trade_truth(spark, sf_dir, graph))
+    return found.select("nodes", "edges", "communities", F.round("modularity", 9).alias("modularity"), F.round("nmi", 9).alias("nmi"))
+
+
+def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return propagate.detect(t.trade(spark, sf_dir)).trace_rows()
+
+
+def _closest(graph: g.Graph) -> DataFrame:
+    distance = centrality.bfs(graph, _hub(graph)).select(F.col("node").alias("id"), F.col("dist").alias("distance"))
+    return g.closest_unvisited(distance, distance.where("distance <= 1").select("id"))
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text functions of the readers on the customers' names."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.concat(F.lit(" "), "c_name", F.lit("\t|"), F.col("c_nationkey").cast("string"), F.lit("x\t")).alias("line"))
+    parts = rows.withColumn("f", fields(F.col("line"), "|"))
+    return parts.select("c_custkey", without_blanks(F.get("f", F.lit(0))).alias("name"), leading_int(F.get("f", F.lit(1))).alias("number"), F.size(fields(F.col("line"), "\t")).cast("long").alias("fields"))
 
 
 def _sync(spark: SparkSession, sf_dir: str, algorithm: str = "sync", **how) -> DataFrame:
@@ -95,9 +146,24 @@ QUERIES: dict[str, Callable] = {
     "contingency": _cells,
     "contingency_marginals": _marginals,
     "nmi": _nmi,
-    "bfs_levels": _trade(lambda x: centrality.bfs(x, _first_sources(x), DEPTH)),
-    "betweenness": _trade(lambda x: centrality.betweenness(x).select("id", F.round("centrality", 6).alias("centrality"))),
+    "bfs_levels": _trade(lambda x: centrality.bfs(x, _hub(x))),
+    "closest_unvisited": _trade(_closest),
+    "betweenness": _trade(lambda x: centrality.betweenness(x).select("id", F.round("centrality", 4).alias("centrality"))),
     "sync_until_stop": _sync,
+    "trace": _trace,
+    "metrics": _metrics,
+    "primitives_three_rounds": lambda spark, d: _sync(spark, d, "primitives", max_rounds=3),
+    "lengths_of_runs": _trade(lambda x: p.lengths_of_runs(p.run_ends(p.boundaries(p.gather(x.edges, _labels(x, 1)))))),
+    "number_of_runs": _trade(lambda x: p.number_of_runs(p.boundaries(p.gather(x.edges, _labels(x, 1))))),
+    "adjacency": _trade(lambda x: x.adjacency().select("id", F.array_join(F.transform("neighbours", lambda i: i.cast("string")), ",").alias("neighbours"))),
+    "text_functions": _names,
+    "read_tab_undirected": _written(_save_pairs, lambda spark, x, path: files.load_graph(spark, path).edges.select("src", "dst", "weight")),
+    "read_tab_directed": _written(_save_pairs, lambda spark, x, path: files.load_graph(spark, path, 1).nodes),
+    "read_written_edges": _written(lambda spark, d, x, path: files.save_edges(x, path), lambda spark, x, path: files.load_graph(spark, path, "directed").edges.select("src", "dst", "weight")),
+    "read_net": _written(lambda spark, d, x, path: files.save_net(x, path), lambda spark, x, path: _edges_by_name(files.load_graph(spark, path, "net"))),
+    "read_truth": _written(_save_truth, lambda spark, x, path: files.load_truth(x, path)),
+    "truth_coverage": _written(_save_truth, lambda spark, x, path: files.coverage(x, files.load_truth(x, path))),
+    "write_communities": _written(lambda spark, d, x, path: files.save_communities(x, _labels(x, 1), path), lambda spark, x, path: spark.read.text(path).select(F.col("value").alias("line"))),
     "async_batches": lambda spark, d: _sync(spark, d, "async", tie="hash", seed=7, batches=4),
     "semisync": lambda spark, d: _sync(spark, d, "semisync", coloring="proper"),
     "coloring_reference": _trade(lambda x: coloring.color(x)),
@@ -106,7 +172,7 @@ QUERIES: dict[str, Callable] = {
 
 _TRADE = """
 pairs AS (SELECT DISTINCT 'c' || CAST(o_custkey AS VARCHAR) AS a, 's' || CAST(l_suppkey AS VARCHAR) AS b
-  FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND o_orderpriority = '1-URGENT'),
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
 raw AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs)"""
 _HANDOVER = """
 raw AS (SELECT * FROM (SELECT CAST(user_id AS VARCHAR) AS a, CAST(lead(user_id) OVER (PARTITION BY event_type, CAST(ts AS DATE)
@@ -155,15 +221,75 @@ marked AS (SELECT src, label, row_number() OVER w - 1 AS at, CAST(lead(label) OV
 _OFFSETS = ",\noffsets AS (SELECT id, degree, CAST(coalesce(sum(degree) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM nodes)"
 
 
-def _bfs_sql(depth: int) -> str:
-    out = f",\nb0 AS (SELECT id AS source, id AS node, 0 AS dist, CAST(1 AS DOUBLE) AS sigma FROM nodes WHERE id < {SOURCES})"
+def _bfs_sql(sources: str, depth: int = DEPTH) -> str:
+    """f0, f1, ...: (source, node, dist, sigma) of each level; neighbours of a level are in it or the ones beside it."""
+    out = f",\nf0 AS MATERIALIZED ({sources})"
     for k in range(1, depth + 1):
+        near = f"SELECT source, node FROM f{k - 1}" + (f" UNION ALL SELECT source, node FROM f{k - 2}" if k > 1 else "")
+        out += f""",
+f{k} AS MATERIALIZED (SELECT source, dst AS node, {k} AS dist, sigma FROM (SELECT source, dst, sum(sigma) AS sigma FROM f{k - 1} JOIN edges ON src = node GROUP BY source, dst) x
+  WHERE NOT EXISTS (SELECT 1 FROM ({near}) s WHERE s.source = x.source AND s.node = x.dst))"""
+    return out
+
+
+def _all(prefix: str, columns: str, depth: int = DEPTH) -> str:
+    return " UNION ALL ".join(f"SELECT {columns} FROM {prefix}{k}" for k in range(depth + 1))
+
+
+_HUB = "SELECT id AS source, id AS node, 0 AS dist, CAST(1 AS DOUBLE) AS sigma FROM (SELECT id FROM nodes ORDER BY degree DESC, id LIMIT 1)"
+_EVERY = "SELECT id AS source, id AS node, 0 AS dist, CAST(1 AS DOUBLE) AS sigma FROM nodes"
+
+
+def _brandes_sql(depth: int = DEPTH) -> str:
+    out = _bfs_sql(_EVERY, depth) + f",\nd{depth} AS MATERIALIZED (SELECT source, node, sigma, CAST(0 AS DOUBLE) AS delta FROM f{depth})"
+    for k in range(depth - 1, -1, -1):
         out += f""",
-b{k} AS (SELECT * FROM b{k - 1} UNION ALL SELECT b.source, e.dst, {k}, sum(b.sigma) FROM b{k - 1} b JOIN edges e ON e.src = b.node
-  WHERE b.dist = {k - 1} AND NOT EXISTS (SELECT 1 FROM b{k - 1} s WHERE s.source = b.source AND s.node = e.dst) GROUP BY b.source, e.dst)"""
+d{k} AS MATERIALIZED (SELECT u.source, u.node, u.sigma, coalesce(add, 0) AS delta FROM f{k} u LEFT JOIN (
+  SELECT v.source, e.src AS node, sum(w.sigma / v.sigma * (1 + v.delta)) AS add FROM d{k + 1} v JOIN edges e ON e.dst = v.node
+    JOIN f{k} w ON w.source = v.source AND w.node = e.src GROUP BY v.source, e.src) a ON a.source = u.source AND a.node = u.node)"""
     return out
 
 
+def _colors_sql(near: str) -> str:
+    """colors: (id, color), one node after another; near: the colours of the lower neighbours in the order of the fold."""
+    return f""",
+lower AS (SELECT n.id, coalesce(list(e.dst ORDER BY e.dst) FILTER (e.dst < n.id), []) AS to_ FROM nodes n LEFT JOIN edges e ON e.src = n.id GROUP BY n.id),
+fold AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS c UNION ALL
+  SELECT i + 1, list_append(c, list_reduce(list_concat([CAST(0 AS BIGINT)], {near}), lambda m, x: CASE WHEN x = m THEN m + 1 ELSE m END)) FROM fold JOIN lower ON id = i),
+colors AS (SELECT unnest(range(len(c))) AS id, CAST(unnest(c) AS INTEGER) AS color FROM (SELECT c FROM fold ORDER BY i DESC LIMIT 1))"""
+
+
+_IN_ORDER = "list_transform(to_, lambda n: c[n + 1])"
+_STOP = "changes = 0 OR (c1 = c2 AND c2 = c3) OR t > least((SELECT count(*) FROM nodes), 500)"
+#: All nodes at once, round after round until the stop rule: (t, id, label, c1, c2, c3, changes), c1 the last count.
+_RUN = f""",
+run AS (SELECT CAST(0 AS BIGINT) AS t, id, id AS label, CAST(-1 AS BIGINT) AS c1, CAST(-2 AS BIGINT) AS c2, CAST(-3 AS BIGINT) AS c3, CAST(1 AS BIGINT) AS changes FROM nodes UNION ALL
+  SELECT t + 1, id, label, max(place) OVER (), c1, c2, CAST(sum(changed) OVER () AS BIGINT) FROM (
+    SELECT t, id, new AS label, c1, c2, dense_rank() OVER (ORDER BY new) AS place, CAST(new <> label AS BIGINT) AS changed FROM (
+      SELECT r.t, r.id, r.label, coalesce(w.label, r.label) AS new, c1, c2 FROM run r LEFT JOIN (
+        SELECT src, label FROM (SELECT src, label, row_number() OVER (PARTITION BY src ORDER BY n DESC, label) AS k FROM (
+          SELECT src, label, count(*) AS n FROM edges JOIN run ON run.id = dst GROUP BY src, label)) WHERE k = 1) w ON w.src = r.id
+      WHERE NOT ({_STOP}))))"""
+#: Colour classes one after another; old is a node's label when its round began, k the class that votes next.
+_TURNS = f""",
+turns AS (SELECT CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS k, id, id AS label, id AS old, CAST(-1 AS BIGINT) AS c1, CAST(-2 AS BIGINT) AS c2, CAST(-3 AS BIGINT) AS c3, CAST(1 AS BIGINT) AS changes FROM nodes UNION ALL
+  SELECT t + ends, CASE WHEN ends = 1 THEN 0 ELSE k + 1 END, id, label, CASE WHEN ends = 1 THEN label ELSE old END,
+    CASE WHEN ends = 1 THEN max(place) OVER () ELSE c1 END, CASE WHEN ends = 1 THEN c1 ELSE c2 END, CASE WHEN ends = 1 THEN c2 ELSE c3 END,
+    CASE WHEN ends = 1 THEN CAST(sum(changed) OVER () AS BIGINT) ELSE changes END FROM (
+    SELECT t, k, id, new AS label, old, c1, c2, c3, changes, dense_rank() OVER (ORDER BY new) AS place, CAST(new <> old AS BIGINT) AS changed,
+      CASE WHEN k = (SELECT max(color) FROM colors) THEN 1 ELSE 0 END AS ends FROM (
+      SELECT r.t, r.k, r.id, r.old, coalesce(w.label, r.label) AS new, c1, c2, c3, changes FROM turns r LEFT JOIN (
+        SELECT src, label FROM (SELECT src, label, row_number() OVER (PARTITION BY src ORDER BY n DESC, label) AS j FROM (
+          SELECT src, label, count(*) AS n FROM edges JOIN turns ON turns.id = dst JOIN colors o ON o.id = src AND o.color = turns.k GROUP BY src, label)) WHERE j = 1) w ON w.src = r.id
+      WHERE NOT (k = 0 AND ({_STOP})))))"""
+
+
+_NMI = """SELECT round(-2 * u / (x + y), 9) AS nmi FROM
+  (SELECT sum(n * log10(n * CAST(total AS DOUBLE) / (a * b))) AS u FROM cells JOIN (SELECT t, sum(n) AS a FROM cells GROUP BY t) USING (t)
+    JOIN (SELECT l, sum(n) AS b FROM cells GROUP BY l) USING (l), (SELECT sum(n) AS total FROM cells)),
+  (SELECT sum(a * log10(a / CAST(total AS DOUBLE))) AS x FROM (SELECT sum(n) AS a FROM cells GROUP BY t), (SELECT sum(n) AS total FROM cells)),
+  (SELECT sum(a * log10(a / CAST(total AS DOUBLE))) AS y FROM (SELECT sum(n) AS a FROM cells GROUP BY l), (SELECT sum(n) AS total FROM cells))"""
+
 ORACLES: dict[str, str] = {
     "flagship": _sql("SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(DISTINCT label) FROM l3) AS communities, modularity FROM q", 3, more=_q(3)),
     "nodes_by_name": _sql("SELECT id, name, degree FROM nodes"),
@@ -200,10 +326,26 @@ ORACLES: dict[str, str] = {
     "modularity_multigraph": _sql("SELECT * FROM q", 1, _HANDOVER, _q(1)),
     "contingency": _sql("SELECT t, l, n FROM cells", 1, more=_cells_sql(1)),
     "contingency_marginals": _sql("SELECT t, l, CAST(sum(n) AS BIGINT) AS n FROM cells GROUP BY GROUPING SETS ((t), (l), ())", 1, more=_cells_sql(1)),
-    "nmi": _sql("""SELECT round(-2 * u / (x + y), 9) AS nmi FROM
-  (SELECT sum(n * log10(n * CAST(total AS DOUBLE) / (a * b))) AS u FROM cells JOIN (SELECT t, sum(n) AS a FROM cells GROUP BY t) USING (t)
-    JOIN (SELECT l, sum(n) AS b FROM cells GROUP BY l) USING (l), (SELECT sum(n) AS total FROM cells)),
-  (SELECT sum(a * log10(a / CAST(total AS DOUBLE))) AS x FROM (SELECT sum(n) AS a FROM cells GROUP BY t), (SELECT sum(n) AS total FROM cells)),
-  (SELECT sum(a * log10(a / CAST(total AS DOUBLE))) AS y FROM (SELECT sum(n) AS a FROM cells GROUP BY l), (SELECT sum(n) AS total FROM cells))""", 2, more=_cells_sql(2)),
-    "bfs_levels": _sql(f"SELECT source, node, dist, sigma FROM b{DEPTH}", more=_bfs_sql(DEPTH)),
+    "nmi": _sql(_NMI, 2, more=_cells_sql(2)),
+    "bfs_levels": _sql(_all("f", "source, node, dist, sigma"), more=_bfs_sql(_HUB)),
+    "closest_unvisited": _sql(f"SELECT node AS id, dist AS distance FROM ({_all('f', 'node, dist')}) WHERE dist > 1 ORDER BY dist, node LIMIT 1", more=_bfs_sql(_HUB)),
+    "betweenness": _sql(f"SELECT id, round(coalesce(c, 0) / 2, 4) AS centrality FROM nodes LEFT JOIN (SELECT node, sum(delta) AS c FROM ({_all('d', 'source, node, delta')}) WHERE source <> node GROUP BY node) ON node = id", more=_brandes_sql()),
+    "sync_until_stop": _sql("SELECT id, label FROM run WHERE t = (SELECT max(t) FROM run)", more=_RUN),
+    "trace": _sql("SELECT DISTINCT CAST(t AS INTEGER) AS round, changes, c1 AS communities FROM run WHERE t > 0", more=_RUN),
+    "metrics": _sql("""SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(DISTINCT label) FROM l2) AS communities, modularity, nmi FROM q, nmi""", 2, more=_q(2) + _cells_sql(2) + f",\nnmi AS ({_NMI})"),
+    "primitives_three_rounds": _sql("SELECT id, label FROM l3", 3),
+    "lengths_of_runs": _sql("SELECT src, label, count(*) AS n FROM edges JOIN l1 ON id = dst GROUP BY src, label", 1),
+    "number_of_runs": _sql("SELECT count(*) AS runs FROM (SELECT DISTINCT src, label FROM edges JOIN l1 ON id = dst)", 1),
+    "adjacency": _sql("SELECT src AS id, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS neighbours FROM edges GROUP BY src"),
+    "text_functions": "SELECT c_custkey, replace(c_name, ' ', '') AS name, CAST(c_nationkey AS BIGINT) AS number, CAST(3 AS BIGINT) AS fields FROM customer",
+    "read_tab_undirected": _sql("SELECT src, dst, CAST(1 AS FLOAT) AS weight FROM edges"),
+    "read_tab_directed": _sql("SELECT id, name, CASE WHEN name LIKE 'c%' THEN degree ELSE 0 END AS degree FROM nodes"),
+    "read_written_edges": _sql("SELECT src, dst, CAST(1 AS FLOAT) AS weight FROM edges"),
+    "read_net": _sql("SELECT a, b, CAST(1 AS FLOAT) AS weight FROM raw"),
+    "read_truth": _sql("SELECT id, CAST(label AS BIGINT) AS label FROM truth", more=_TRUTH),
+    "truth_coverage": _sql("SELECT count(*) AS nodes, count(label) AS labelled FROM nodes LEFT JOIN truth USING (id)", more=_TRUTH),
+    "write_communities": _sql("SELECT name || chr(9) || CAST(label AS VARCHAR) AS line FROM l1 JOIN nodes USING (id)", 1),
+    "coloring_reference": _sql("SELECT id, color FROM colors", more=_colors_sql(_IN_ORDER)),
+    "coloring_proper": _sql("SELECT id, color FROM colors", more=_colors_sql(f"list_sort(list_distinct({_IN_ORDER}))")),
+    "semisync": _sql("SELECT id, label FROM turns WHERE (t, k) = (SELECT (max(t), 0) FROM turns)", more=_colors_sql(f"list_sort(list_distinct({_IN_ORDER}))") + _TURNS),
 }

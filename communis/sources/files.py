@@ -43,8 +43,9 @@ def read_net(tables: Tables, path: str) -> DataFrame:
     return both.select("a", "b", "weight", F.lit(None).cast("long").alias("pos"))
 
 
-def load_graph(spark: SparkSession, path: str, form: str | int = "undirected", order: str = "name") -> Graph:
-    """The graph of a file. form: "directed" or "undirected" edge list, or "net" (also by number: 1, 2, 3)."""
+def load_graph(spark: SparkSession, path: str, form: str | int = "undirected", order: str = "name", dedupe: bool = False) -> Graph:
+    """The graph of a file. form: "directed" or "undirected" edge list, or "net" (also by number: 1, 2, 3). dedupe: of
+    parallel edges the first alone stays."""
     form = FORMATS.get(form, form)
     tables = Tables(spark, "graph")
     if form == "net":
@@ -54,6 +55,8 @@ def load_graph(spark: SparkSession, path: str, form: str | int = "undirected", o
         pairs = pairs if form == "directed" else undirected(pairs)
     else:
         raise ValueError(f"unknown form {form}")
+    if dedupe:
+        pairs = pairs.groupBy("a", "b").agg(F.min_by("weight", "pos").alias("weight"), F.min("pos").alias("pos"))
     return from_pairs(tables, pairs, order)
 
 
@@ -66,6 +69,29 @@ def load_truth(graph: Graph, path: str) -> DataFrame:
     return first.join(graph.nodes.select("id", "name"), "name").select("id", "label")
 
 
+def coverage(graph: Graph, truth: DataFrame) -> DataFrame:
+    """One row (nodes, labelled): how many nodes a truth (id, label) labels."""
+    return graph.nodes.join(truth.select("id", F.lit(1).alias("one")), "id", "left").agg(F.count(F.lit(1)).alias("nodes"), F.count("one").alias("labelled"))
+
+
+def save_edges(graph: Graph, path: str) -> None:
+    """Each stored edge as a line of two names with a tab between, in order of ids: a directed edge list."""
+    names = graph.nodes.select("id", "name")
+    named = graph.edges.join(names.select(F.col("id").alias("src"), F.col("name").alias("a")), "src").join(names.select(F.col("id").alias("dst"), F.col("name").alias("b")), "dst")
+    named.orderBy("src", "pos", "dst").select(F.concat_ws("\t", "a", "b").alias("value")).write.text(path)
+
+
+def save_net(graph: Graph, path: str) -> None:
+    """A .net file of an undirected graph: its vertices by number, then each pair of neighbours once, with the weight."""
+    names = graph.nodes.select("id", "name")
+    head = graph.nodes.agg(F.concat(F.lit("*Vertices "), F.count(F.lit(1)).cast("string")).alias("value")).select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), "value")
+    vertices = names.select(F.lit(1).alias("part"), F.col("id").alias("x"), F.lit(0).cast("long").alias("y"), F.concat((F.col("id") + 1).cast("string"), F.lit(' "'), "name", F.lit('"')).alias("value"))
+    mark = head.select(F.lit(2).alias("part"), "x", "y", F.lit("*Edges").alias("value"))
+    edges = graph.edges.where("src <= dst").join(names.select(F.col("id").alias("src"), F.col("name").alias("a")), "src").join(names.select(F.col("id").alias("dst"), F.col("name").alias("b")), "dst")
+    lines = edges.select(F.lit(3).alias("part"), F.col("src").alias("x"), F.col("dst").alias("y"), F.concat_ws(" ", "a", "b", F.col("weight").cast("string")).alias("value"))
+    head.unionByName(vertices).unionByName(mark).unionByName(lines).orderBy("part", "x", "y").select("value").write.text(path)
+
+
 def save_communities(graph: Graph, labels: DataFrame, path: str) -> None:
     """Lines of name, tab, label, in order of id."""
     named = graph.nodes.select("id", "name").join(labels, "id").orderBy("id")

@@ -13,19 +13,24 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _graph(spark: SparkSession, pairs: DataFrame, both: bool, order: str) -> Graph:
-    pairs = pairs.select("a", "b", F.lit(1.0).alias("weight"), F.lit(None).cast("long").alias("pos"))
+def _graph(tables: Tables, pairs: DataFrame, both: bool, order: str) -> Graph:
+    pairs = tables.put(pairs).select("a", "b", F.lit(1.0).alias("weight"), F.lit(None).cast("long").alias("pos"))
     if both:
         pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight", "pos"))
-    return from_pairs(Tables(spark, "graph"), pairs, order)
+    return from_pairs(tables, pairs, order)
+
+
+def trade_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b): each customer and each supplier of a line of its orders, once."""
+    orders = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey")
+    lines = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), "l_suppkey")
+    ids = orders.join(lines, "k").select("o_custkey", "l_suppkey").distinct()
+    return ids.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("b"))
 
 
 def trade(spark: SparkSession, sf_dir: str, order: str = "name") -> Graph:
-    """Customers and the suppliers of the first line of their urgent orders, undirected and without parallel edges."""
-    orders = _read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("k"), "o_custkey")
-    lines = _read(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("k"), "l_suppkey")
-    pairs = orders.join(lines, "k").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("b")).distinct()
-    return _graph(spark, pairs, True, order)
+    """Customers and the suppliers of their orders' lines, undirected and without parallel edges."""
+    return _graph(Tables(spark, "graph"), trade_pairs(spark, sf_dir), True, order)
 
 
 def trade_truth(spark: SparkSession, sf_dir: str, graph: Graph) -> DataFrame:
@@ -40,7 +45,7 @@ def handover(spark: SparkSession, sf_dir: str) -> Graph:
     and loops."""
     w = Window.partitionBy("event_type", F.to_date("ts")).orderBy("ts", "event_id")
     pairs = _read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("a"), F.lead("user_id").over(w).cast("string").alias("b"))
-    return _graph(spark, pairs.where("b IS NOT NULL"), False, "name")
+    return _graph(Tables(spark, "graph"), pairs.where("b IS NOT NULL"), False, "name")
 
 
 def copurchase_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,7 +153,9 @@ def test_registry_agrees_with_sql(spark):
     con = duckdb.connect()
     for f in glob.glob(f"{at}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
-    for name in ("flagship", "nodes_by_degree", "boundaries", "prefix_sum", "nmi", "bfs_levels", "majority_multigraph"):
+    for name in ("flagship", "nodes_by_degree", "boundaries", "prefix_sum", "nmi", "bfs_levels", "majority_multigraph", "closest_unvisited", "betweenness", "sync_until_stop", "trace", "metrics",
+                 "primitives_three_rounds", "lengths_of_runs", "number_of_runs", "adjacency", "text_functions", "read_tab_undirected", "read_tab_directed", "read_written_edges", "read_net", "read_truth",
+                 "truth_coverage", "write_communities", "coloring_reference", "coloring_proper", "semisync"):
         df = queries.QUERIES[name](spark, at)
         columns = sorted(df.columns)
         want = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({queries.ORACLES[name]})").fetchall()
@@ -221,7 +223,7 @@ def test_registered_queries_do_the_whole_job(spark):
             if w != s:
                 total[w] += delta[w]
     found = {r["id"]: r["centrality"] for r in queries.QUERIES["betweenness"](spark, at).collect()}
-    assert found.keys() == total.keys() and all(math.isclose(found[i], total[i] / 2, abs_tol=2e-6) for i in total)
+    assert found.keys() == total.keys() and all(math.isclose(found[i], total[i] / 2, abs_tol=2e-4) for i in total)
 
     def deal(turn):
         for k in range(4):
@@ -235,3 +237,100 @@ def test_registered_queries_do_the_whole_job(spark):
         color[i] = min(set(range(len(to))) - taken)
     want, rounds = until_stop(to, lambda turn: [[i for i in to if color[i] == k] for k in range(max(color.values()) + 1)], lambda turn, i, c: (-c,))
     assert {r["id"]: r["label"] for r in queries.QUERIES["semisync"](spark, at).collect()} == want and rounds > 1
+
+
+#: The karate club graph (fixed values): for each node, its neighbours of lower number; and the nodes of the first group.
+KARATE = {
+    2: [1], 3: [1, 2], 4: [1, 2, 3], 5: [1], 6: [1], 7: [1, 5, 6], 8: [1, 2, 3, 4], 9: [1, 3], 10: [3], 11: [1, 5, 6], 12: [1], 13: [1, 4], 14: [1, 2, 3, 4], 17: [6, 7], 18: [1, 2], 20: [1, 2],
+    22: [1, 2], 26: [24, 25], 28: [3, 24, 25], 29: [3], 30: [24, 27], 31: [2, 9], 32: [1, 25, 26, 29], 33: [3, 9, 15, 16, 19, 21, 23, 24, 30, 31, 32],
+    34: [9, 10, 14, 15, 16, 19, 20, 21, 23, 24, 27, 28, 29, 30, 31, 32, 33],
+}
+FIRST_GROUP = {1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 12, 13, 14, 17, 18, 20, 22}
+
+
+@pytest.fixture(scope="module")
+def karate(tmp_path_factory):
+    at = tmp_path_factory.mktemp("karate")
+    lines = [f"{a} {b} 1.0" for a, some in KARATE.items() for b in some]
+    (at / "k.net").write_text("*Vertices 34\n" + "".join(f'{i} "{i}"\n' for i in range(1, 35)) + "*Edges\n" + "\n".join(lines) + "\n")
+    (at / "k.txt").write_text("# both directions\n" + "".join(f"{a}\t{b}\n{b}\t{a}\n" for a, some in KARATE.items() for b in some))
+    (at / "groups.txt").write_text("".join(f"{i}\t{1 if i in FIRST_GROUP else 2}\n" for i in range(1, 35)))
+    return at
+
+
+def test_karate_is_as_known(spark, karate):
+    """Rounds, changes, communities, modularity, NMI, colours and betweenness worked out once by plain models."""
+    for ids, want, q in (("name", (7, 12, 3), 0.034270), ("degree", (7, 23, 4), 0.099195)):
+        x = files.load_graph(spark, str(karate / "k.net"), "net", ids)
+        assert tuple(x.counts().first()) == (34, 156)
+        found = propagate.detect(x)
+        assert found.trace[-1] == want and [tuple(r) for r in found.trace_rows().collect()] == found.trace
+        truth = files.load_truth(x, str(karate / "groups.txt"))
+        row = quality.metrics(x, found.labels, truth).first()
+        assert row["communities"] == want[2] and abs(row["modularity"] - q) < 1e-6
+        if ids == "name":
+            assert abs(row["nmi"] - 0.088996) < 1e-6
+            assert [r["name"] for r in x.nodes.orderBy("id").limit(4).collect()] == ["1", "10", "11", "12"]
+        color = {r["id"]: r["color"] for r in coloring.color(x).collect()}
+        same = sum(color[r["src"]] == color[r["dst"]] for r in x.edges.collect())
+        assert (len(set(color.values())), same // 2) == (5, 1)
+    one = x.nodes.selectExpr("id", "0L AS label")
+    assert abs(quality.modularity(x.edges, one).first()[0] - 0.0498028) < 1e-6
+    assert abs(quality.modularity(x.edges, truth).first()[0] - 0.408037) < 1e-6
+    assert tuple(files.coverage(x, truth).first()) == (34, 34)
+    names = {r["id"]: r["name"] for r in x.nodes.collect()}
+    between = {names[r["id"]]: r["centrality"] for r in centrality.betweenness(x, batch=20).collect()}
+    assert abs(sum(between.values()) - 790) < 1e-6
+    assert all(abs(between[k] - v) < 1e-4 for k, v in {"1": 231.0714, "34": 160.5516, "33": 76.6905, "3": 75.8508}.items())
+
+
+def test_parallel_edges_stay_unless_told(spark, karate):
+    x = files.load_graph(spark, str(karate / "k.txt"))
+    assert tuple(x.counts().first()) == (34, 312)
+    truth = files.load_truth(x, str(karate / "groups.txt"))
+    k = Counter(i for a, some in KARATE.items() for b in some for i in (a, b, a, b))  # each edge twice in both directions
+    inside = 2 * sum((a in FIRST_GROUP) == (b in FIRST_GROUP) for a, some in KARATE.items() for b in some)
+    whole = [sum(n for i, n in k.items() if (i in FIRST_GROUP) == first) for first in (True, False)]
+    want = (inside - (sum(n * n for n in whole) - sum(n * n for n in k.values())) / 312) / 312
+    assert abs(quality.modularity(x.edges, truth).first()[0] - want) < 1e-9
+    assert tuple(files.load_graph(spark, str(karate / "k.txt"), dedupe=True).counts().first()) == (34, 156)
+
+
+def test_voting_by_primitives_is_voting(spark):
+    pairs = some_pairs(10, 20) * 2 + [("n1", "n1"), ("n2", "zz")]
+    x = make(spark, pairs, both=False)
+    labels = p.initial_labels(x.nodes)
+    for _ in range(3):
+        new = propagate.vote(x.edges, labels)
+        assert sorted(map(tuple, propagate.vote_by_primitives(x.edges, labels).collect())) == sorted(map(tuple, new.collect()))
+        labels = x.tables.put(new)
+
+
+def test_ties_by_hash_vary_with_the_seed_alone(spark):
+    x = make(spark, [(f"l{i}", f"r{j}") for i in range(5) for j in range(5)])
+    runs = [tuple(sorted(map(tuple, propagate.majority(x.edges, p.initial_labels(x.nodes), "hash", seed, 1).collect()))) for seed in (1, 1, 2, 3, 4)]
+    assert runs[0] == runs[1] and len(set(runs)) > 2
+    for run in runs:
+        assert all(label >= 5 if src < 5 else label < 5 for src, label in run)
+
+
+def test_long_labels_stay_apart(spark, tmp_path):
+    (tmp_path / "e.txt").write_text("a\tb\nb\tc\n")
+    (tmp_path / "t.txt").write_text("a\t1234567890\nb\t1234567891\nc\t99999999999999999999\n")
+    x = files.load_graph(spark, str(tmp_path / "e.txt"))
+    assert sorted(map(tuple, files.load_truth(x, str(tmp_path / "t.txt")).collect())) == [(0, 1234567890), (1, 1234567891)]
+
+
+def test_command_line(spark, karate, capsys, tmp_path):
+    from communis import cli
+
+    cli.main(["detect", str(karate / "k.txt"), "--dedupe", "--tie", "min", "--truth", str(karate / "groups.txt"), "--out", str(tmp_path / "out")])
+    said = capsys.readouterr().out
+    assert "'nodes': 34" in said and "'edges': 156" in said and "'labelled': 34" in said and "'nmi': 0." in said
+    assert spark.read.text(str(tmp_path / "out")).count() == 34
+    cli.main(["suite", str(karate / "k.net"), str(karate / "k.net"), "--tie", "min", "--truth", str(karate / "groups.txt")])
+    first, second = capsys.readouterr().out.strip().splitlines()
+    assert "'communities': 3" in first and "'nmi': 0.0889" in first and "'nmi': None" in second
+    with pytest.raises(SystemExit):
+        cli.main(["detect", "x", "--truth", "a", "--truth", "b"])
+    spark.sparkContext.setLogLevel("ERROR")
