@@ -148,7 +148,7 @@ QUERIES: dict[str, Callable] = {
     "nmi": _nmi,
     "bfs_levels": _trade(lambda x: centrality.bfs(x, _hub(x))),
     "closest_unvisited": _trade(_closest),
-    "betweenness": _trade(lambda x: centrality.betweenness(x).select("id", F.round("centrality", 4).alias("centrality"))),
+    "betweenness": lambda spark, d: centrality.betweenness(t.handover(spark, d), halve=False).select("id", F.round("centrality", 4).alias("centrality")),
     "sync_until_stop": _sync,
     "trace": _trace,
     "metrics": _metrics,
@@ -222,10 +222,10 @@ _OFFSETS = ",\noffsets AS (SELECT id, degree, CAST(coalesce(sum(degree) OVER (OR
 
 
 def _bfs_sql(sources: str, depth: int = DEPTH) -> str:
-    """f0, f1, ...: (source, node, dist, sigma) of each level; neighbours of a level are in it or the ones beside it."""
+    """f0, f1, ...: (source, node, dist, sigma) of each level."""
     out = f",\nf0 AS MATERIALIZED ({sources})"
     for k in range(1, depth + 1):
-        near = f"SELECT source, node FROM f{k - 1}" + (f" UNION ALL SELECT source, node FROM f{k - 2}" if k > 1 else "")
+        near = _all("f", "source, node", k - 1)
         out += f""",
 f{k} AS MATERIALIZED (SELECT source, dst AS node, {k} AS dist, sigma FROM (SELECT source, dst, sum(sigma) AS sigma FROM f{k - 1} JOIN edges ON src = node GROUP BY source, dst) x
   WHERE NOT EXISTS (SELECT 1 FROM ({near}) s WHERE s.source = x.source AND s.node = x.dst))"""
@@ -329,7 +329,7 @@ ORACLES: dict[str, str] = {
     "nmi": _sql(_NMI, 2, more=_cells_sql(2)),
     "bfs_levels": _sql(_all("f", "source, node, dist, sigma"), more=_bfs_sql(_HUB)),
     "closest_unvisited": _sql(f"SELECT node AS id, dist AS distance FROM ({_all('f', 'node, dist')}) WHERE dist > 1 ORDER BY dist, node LIMIT 1", more=_bfs_sql(_HUB)),
-    "betweenness": _sql(f"SELECT id, round(coalesce(c, 0) / 2, 4) AS centrality FROM nodes LEFT JOIN (SELECT node, sum(delta) AS c FROM ({_all('d', 'source, node, delta')}) WHERE source <> node GROUP BY node) ON node = id", more=_brandes_sql()),
+    "betweenness": _sql(f"SELECT id, round(coalesce(c, 0), 4) AS centrality FROM nodes LEFT JOIN (SELECT node, sum(delta) AS c FROM ({_all('d', 'source, node, delta')}) WHERE source <> node GROUP BY node) ON node = id", 0, _HANDOVER, _brandes_sql()),
     "sync_until_stop": _sql("SELECT id, label FROM run WHERE t = (SELECT max(t) FROM run)", more=_RUN),
     "trace": _sql("SELECT DISTINCT CAST(t AS INTEGER) AS round, changes, c1 AS communities FROM run WHERE t > 0", more=_RUN),
     "metrics": _sql("""SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(DISTINCT label) FROM l2) AS communities, modularity, nmi FROM q, nmi""", 2, more=_q(2) + _cells_sql(2) + f",\nnmi AS ({_NMI})"),

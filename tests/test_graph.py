@@ -222,7 +222,7 @@ def test_registered_queries_do_the_whole_job(spark):
                     delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
             if w != s:
                 total[w] += delta[w]
-    found = {r["id"]: r["centrality"] for r in queries.QUERIES["betweenness"](spark, at).collect()}
+    found = {r["id"]: r["centrality"] for r in centrality.betweenness(tables.trade(spark, at)).collect()}
     assert found.keys() == total.keys() and all(math.isclose(found[i], total[i] / 2, abs_tol=2e-4) for i in total)
 
     def deal(turn):
