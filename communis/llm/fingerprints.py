@@ -7,12 +7,16 @@ have at most k shingles together, the estimates are exact.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
 
 K, WIDTH = 128, 5
+#: Bytes of text that a task takes, about, and ranges of doc_id for each task, so that tasks are even.
+TASK_BYTES, RANGES = 128 << 20, 4
 
 
 def words(text: Column) -> Column:
@@ -57,12 +61,28 @@ def text_of(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
-def _bucket(docs: DataFrame) -> Column:
-    """The range of doc_id that a row falls in, about as many ranges as shuffle partitions; null ids come last."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _tasks(docs: DataFrame) -> int:
+    """As many as the texts' bytes need, and the session's shuffle partitions at least."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+
+
+def _bucket(docs: DataFrame, n: int) -> Column:
+    """The range of doc_id, of about n, that a row falls in; null ids come last. A row is held against about 2 * sqrt(n)
+    cuts: every `step`th, and those that follow the last of these below it."""
     cuts = sorted(set(docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    below = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x <= F.col("doc_id"))) if cuts else F.lit(0)
-    return F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(below).cast("int")
+    if not cuts:
+        return F.when(F.col("doc_id").isNull(), 1).otherwise(0)
+    step = math.isqrt(len(cuts)) + 1
+
+    def below(some: Column) -> Column:
+        return F.size(F.filter(some, lambda x: x <= F.col("doc_id")))
+
+    def literal(some: list[float]) -> Column:
+        return F.split(F.lit(",".join(map(repr, some))), ",").cast("array<double>")
+
+    group = F.greatest(below(literal(cuts[::step])) - 1, F.lit(0)) * step
+    return F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(group + below(F.slice(literal(cuts), group + 1, step))).cast("int")
 
 
 def compare_with_edited(spark: SparkSession, docs: DataFrame, k: int = K) -> DataFrame:
@@ -70,11 +90,14 @@ def compare_with_edited(spark: SparkSession, docs: DataFrame, k: int = K) -> Dat
     containment of the text in its edited form.
 
     The next document is that of the next row by (doc_id, text), null ids last; after the last comes the first. Null
-    texts count as empty; a table of one row is its own next. Other columns are ignored. Rows move to ranges of doc_id
-    once; each range also gets a copy of the row that follows it, so no window crosses ranges.
+    texts count as empty; very long ones are read whole; a table of one row is its own next, and an empty one gives no
+    rows. Other columns are ignored, whatever their names. Rows move to ranges of doc_id once, as many as their bytes
+    need; each range also gets a copy of the row that follows it, so no window crosses ranges. Rows that share one doc_id,
+    or have none, are one range.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = docs.withColumn("range", _bucket(docs))
+    tasks = _tasks(docs)
+    rows = docs.withColumn("range", _bucket(docs, tasks * RANGES))
     heads = sorted((r["range"], r["first"]) for r in rows.groupBy("range").agg(F.min("doc_id").alias("first")).collect())
     if not heads:
         follows = spark.createDataFrame([], "before int, range int, first long")
@@ -83,7 +106,7 @@ def compare_with_edited(spark: SparkSession, docs: DataFrame, k: int = K) -> Dat
     tie = rows.join(F.broadcast(follows), "range")  # as many rows as ranges
     tie = tie.where(F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("before").agg(F.min("text").alias("text"))
     copies = tie.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("before").alias("range"), F.lit(True).alias("copy"))
-    every = rows.withColumn("copy", F.lit(False)).unionByName(copies)
+    every = rows.withColumn("copy", F.lit(False)).unionByName(copies).repartition(tasks, "range")
     order = Window.partitionBy("range").orderBy("copy", F.col("doc_id").asc_nulls_last(), "text")
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
