@@ -265,6 +265,18 @@ def test_fingerprints(spark, texts):
     assert fingerprints.compare_with_edited(spark, docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_fingerprints_do_not_depend_on_the_size_of_tasks(spark, texts, monkeypatch):
+    """One range, and more ranges than rows: gaps between ids, negative, repeated and null ids."""
+    docs = docs_of(spark, texts, [-5, None, *(3 * i for i in range(len(texts) - 3)), 3])
+    rows = lambda: sorted((tuple(r) for r in fingerprints.compare_with_edited(spark, docs).collect()), key=repr)
+    want = rows()
+    monkeypatch.setattr(fingerprints, "TASK_BYTES", 500)
+    assert fingerprints._tasks(docs) > 20 and rows() == want
+    monkeypatch.setattr(fingerprints, "_tasks", lambda docs: 1)
+    monkeypatch.setattr(fingerprints, "RANGES", 1)
+    assert rows() == want
+
+
 def plain_kneser_ney(texts, order):
     """p(gram), by the textbook: absolute discounts, raw counts at the top, numbers of left neighbours below."""
     levels = {order: {}}
