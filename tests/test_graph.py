@@ -114,6 +114,42 @@ def test_betweenness(spark):
     assert [r["centrality"] for r in centrality.betweenness(ring, batch=2).orderBy("id").collect()] == [0.5] * 4
 
 
+def test_betweenness_of_long_paths_writes_few_tables(spark):
+    """A level is no table of its own: on a directed ring of n nodes each lies within (n - 1)(n - 2) / 2 shortest paths."""
+    n = 150
+    ring = make(spark, [(f"{i}", f"{(i + 1) % n}") for i in range(n)], both=False)
+    before = ring.tables.n
+    found = [r["centrality"] for r in centrality.betweenness(ring, halve=False).collect()]
+    assert found == [(n - 1) * (n - 2) / 2] * n and ring.tables.n - before < 10
+
+
+def test_betweenness_by_joins_is_that_by_arrays(spark):
+    """Parallel edges, loops, sinks and parts that don't reach each other; all sources and some."""
+    pairs = some_pairs() * 2 + some_pairs(9, 12, 4) + [("n1", "n1"), ("n2", "zz"), ("p", "q"), ("q", "r"), ("q", "r"), ("q", "s"), ("r", "t"), ("s", "t")]
+    x = make(spark, pairs, both=False)
+    for sources in (None, x.nodes.where("id % 3 = 0")):
+        want = {r["id"]: r["centrality"] for r in centrality.betweenness(x, sources, batch=7, most_pairs=0).collect()}
+        found = {r["id"]: r["centrality"] for r in centrality.betweenness(x, sources).collect()}
+        assert found.keys() == want.keys() and all(math.isclose(found[i], want[i], abs_tol=1e-9) for i in want) and any(want.values())
+    names = {r["name"]: r["id"] for r in x.nodes.collect()}
+    every = {r["id"]: r["centrality"] for r in centrality.betweenness(x, halve=False).collect()}
+    assert math.isclose(every[names["r"]], 4 / 3) and math.isclose(every[names["s"]], 2 / 3) and every[names["q"]] == 3
+    assert centrality.betweenness(make(spark, [(None, "a")], both=False)).count() == 0
+
+
+def test_dependencies_in_any_batches(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    degree = rng.integers(0, 7, 200)
+    offset, dst = np.r_[0, np.cumsum(degree)], rng.integers(0, 200, degree.sum())
+    ways, sources = rng.integers(1, 4, len(dst)).astype(float), rng.permutation(200)[:90]
+    want = centrality.dependencies(offset, dst, ways, sources)
+    monkeypatch.setattr(centrality, "STATE", 1500)
+    monkeypatch.setattr(centrality, "STEP", 3)
+    assert np.allclose(centrality.dependencies(offset, dst, ways, sources), want, rtol=1e-12) and want.any()
+
+
 def test_primitives(spark):
     t = Tables(spark, "test")
     n = spark.range(1500).selectExpr("id", "1L AS one")
