@@ -706,10 +706,11 @@ def deduplicate(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, w
     """docs without near copies: of each group the row with the smallest doc_id stays, with all its columns; of rows that
     repeat that doc_id and text, the one whose other columns come first as JSON text.
 
-    Texts are classed by content first, so copies never meet pairwise. Classes whose sets of `width`-word shingles agree
-    in a band of least hashes are candidates, which leaves out a pair of the similarity with a chance of MISS at most,
-    however long the texts; candidate links count if the sets have Jaccard similarity of at least `similarity`. The first
-    search links all of a band's texts to the least of them; where a part of these links holds several proven groups, a
+    Texts are classed by content first, so copies never meet pairwise. Near copies are, first, what near_duplicates
+    links: SimHash fingerprints within 3 bits of each other, found by anchors; every such link counts. Second, as those
+    fingerprints drift apart with scattered changes, texts whose sets of `width`-word shingles have Jaccard similarity of
+    at least `similarity`. Classes whose sets agree in a band of least hashes are candidates for that, which leaves out a
+    pair of the similarity with a chance of MISS at most, however long the texts. A search links all of a band's texts to the least of them; where a part of these links holds several proven groups, a
     second one deals the part's sets of shingles into blocks, tests every candidate pair between groups where two blocks
     meet, and reports a forest, so no candidate is lost and no pairs are expanded. Texts move only for pairs whose sketches (counts of
     shingles by bins) don't rule the similarity out. Null, empty and blank texts are one class of no words. Repeated rows
@@ -721,6 +722,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, w
     key = fresh(docs.columns, "node")
     keyed, rows = _classed(tables, docs, key, hashed)
     named_text = keyed.select(F.col(key).alias("node"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    alike = near_duplicates(spark, named_text.withColumnRenamed("node", "doc_id")).where("doc_id <> component_id")
+    covered = tables.put(alike.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).distinct())
     bands = bands_for(similarity)
     keys = per_batch(named_text, ["node", "text"], "band long, node long, least long", _bands, width, bands)
     top = F.coalesce("least", F.min("node").over(Window.partitionBy("band")))
@@ -739,7 +742,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, w
         held = likely.join(side("a", text="x"), "a").join(side("b", text="y"), "b")
         return tables.put(per_batch(held, ["a", "b", "x", "y"], "a long, b long, similarity double", _jaccard, width).where(F.col("similarity") >= similarity).select("a", "b"))
 
-    sure = proven(edges)
+    sure = tables.put(covered.union(proven(edges)).distinct())
     roots = components(tables, sure)
     # A forest of candidates may miss a similar pair where one of its links isn't similar: there, all links across count.
     part = components(tables, edges).withColumnRenamed("root", "part")

@@ -15,7 +15,7 @@ def clean_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of least id stays. Null, empty and blank texts are one group; columns stay."""
+    """Of each group of near copies (by op6's fingerprints and anchors, or by shingles) the document of least id stays. Null, empty and blank texts are one group; columns stay."""
     return simhash.deduplicate(spark, docs)
 
 

@@ -578,6 +578,29 @@ def test_dedup_finds_scattered_changes_in_texts_of_any_length(spark):
     assert sorted(x["doc_id"] for x in simhash.deduplicate(spark, docs).collect()) == [10 * i for i in range(50)]
 
 
+def test_dedup_keeps_one_of_what_the_fingerprints_link(spark):
+    """Texts whose fingerprints are within 3 bits are near copies by the method, if their shingles are too different for
+    the second search: chains of them too. Texts of neither kind stay."""
+    r = random.Random(23)
+    rows, low = [], 0
+
+    def sh(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    for family in range(6):
+        head = " ".join(f"h{family}x{i}" for i in range(3))
+        made = [" ".join([head] * 90 + [f"t{family}x{copy}x{i}" for i in range(60 + copy)]) for copy in range(3)]
+        prints = [simhash.fingerprint64(t) for t in made]
+        assert all((a ^ b).bit_count() <= 3 for a, b in zip(prints, prints[1:]))
+        low += sum(len(sh(a) & sh(b)) / len(sh(a) | sh(b)) < 0.8 for a, b in zip(made, made[1:]))
+        rows += [(10 * family + copy, t) for copy, t in enumerate(made)]
+    rows += [(1000 + i, sentence(r, 30, [f"w{i}" for i in range(900)])) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {x["component_id"] for x in simhash.near_duplicates(spark, docs).collect()}
+    assert low == 12 and sorted(x["doc_id"] for x in simhash.deduplicate(spark, docs).collect()) == sorted(want) == [0, 10, 20, 30, 40, 50, *range(1000, 1020)]
+
+
 def test_decontamination_tries_windows_between_the_aligned_ones(spark):
     """Passages trimmed at both ends with words put in the middle are most like their item where no shingle is aligned."""
     r = random.Random(31)
