@@ -104,11 +104,41 @@ def bucket_of(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
-def components(tables: Tables, edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Distinct edges up to which one task finds the components: 2 MB a column, and less than a second.
+FEW_EDGES = 1 << 18
+
+
+def _rooted():
+    """Edges (a, b) to (node, root), by union-find whose roots are the least of their component."""
+    up: dict[int, int] = {}
+
+    def root(x):
+        top = x
+        while (nxt := up.get(top, top)) != top:
+            top = nxt
+        while x != top:
+            up[x], x = top, up[x]
+        return top
+
+    def step(batch):
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            x, y = root(a), root(b)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+
+    def rest():
+        return {"node": list(up), "root": [root(x) for x in list(up)]}
+
+    step.rest = rest
+    return step
+
+
+def components(tables: Tables, edges: DataFrame, rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
     """Connected components of the graph of `edges` (a, b long): rows (node, root) for every node that isn't a root.
 
-    Alternating large-star and small-star rounds; each is a partial aggregate and a join on the node, where a hub's edges
-    stay where they are. Every round is written to the shared folder. The number of rounds grows with the logarithm of
+    At most `few` distinct edges go to one task, as every small stage costs the driver threads and memory that it holds
+    for a minute. More take alternating large-star and small-star rounds; each is a partial aggregate and a join on the
+    node, where a hub's edges stay where they are. Every round is written to the shared folder. The number of rounds grows with the logarithm of
     the graph; reaching `rounds` is an error, not a silent stop.
     """
     big = F.greatest("a", "b").alias("a")
@@ -116,6 +146,8 @@ def components(tables: Tables, edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = tables.put(edges.where("a <> b").select(big, small).distinct())
     mark = F.struct(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")))
     seen = now.agg(mark).first()[0]
+    if seen[0] <= few:
+        return tables.put(per_batch(now.coalesce(1), ["a", "b"], "node long, root long", _rooted))
     for _ in range(rounds):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")

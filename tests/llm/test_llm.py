@@ -71,6 +71,22 @@ def test_components_of_a_path(spark):
     assert found == {i: 0 for i in range(1, 41)} | {91: 90}
 
 
+def test_components_of_few_edges_are_those_of_rounds(spark, monkeypatch):
+    """The few edges of one task take two tables, however long the paths; rounds, with hot nodes too, find the same."""
+    from communis.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    r = random.Random(3)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(40)] + [(r.randrange(2000, 2400), r.randrange(2000, 2400)) for _ in range(180)] + [(-5, 7000), (7000, -5), (8000, 8000)]
+    df, found = spark.createDataFrame(edges, "a long, b long").repartition(3), []
+    for few in (common.FEW_EDGES, 0):
+        t = Tables(spark, "test")
+        found.append({x["node"]: x["root"] for x in components(t, df, few=few).collect()})
+        assert few == 0 or t.n == 2
+    assert found[0] == found[1] and found[0][300] == 0 and found[0][1039] == 1000 and found[0][7000] == -5 and 8000 not in found[0]
+    assert components(Tables(spark, "test"), df.limit(0)).count() == 0
+
+
 def test_deduplicate_keeps_one_of_each(spark, texts):
     r = random.Random(9)
     long = sentence(r, 400)
