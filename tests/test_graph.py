@@ -150,6 +150,15 @@ def test_dependencies_in_any_batches(monkeypatch):
     assert np.allclose(centrality.dependencies(offset, dst, ways, sources), want, rtol=1e-12) and want.any()
 
 
+def test_dependencies_of_more_paths_than_doubles_hold():
+    """A chain of 300 nodes, 100 parallel edges a step, has 1e598 shortest paths; node i lies between i * (299 - i) pairs."""
+    import numpy as np
+
+    offset, dst = np.r_[np.arange(300), 299], np.arange(1, 300)
+    found = centrality.dependencies(offset, dst, np.full(299, 100.0), np.arange(300))
+    assert np.allclose(found, [i * (299 - i) for i in range(300)])
+
+
 def test_primitives(spark):
     t = Tables(spark, "test")
     n = spark.range(1500).selectExpr("id", "1L AS one")
