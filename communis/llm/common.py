@@ -136,8 +136,7 @@ def _rooted():
 def components(tables: Tables, edges: DataFrame, rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
     """Connected components of the graph of `edges` (a, b long): rows (node, root) for every node that isn't a root.
 
-    At most `few` distinct edges go to one task, as every small stage costs the driver threads and memory that it holds
-    for a minute. More take alternating large-star and small-star rounds; each is a partial aggregate and a join on the
+    At most `few` distinct edges go to one task, as rounds of many small stages cost the driver memory. More take alternating large-star and small-star rounds; each is a partial aggregate and a join on the
     node, where a hub's edges stay where they are. Every round is written to the shared folder. The number of rounds grows with the logarithm of
     the graph; reaching `rounds` is an error, not a silent stop.
     """
