@@ -156,6 +156,31 @@ def _units(most: int):
     return step
 
 
+#: Pieces among which units are made at once.
+TOGETHER = 10_000
+
+
+def _pieces_in_units(path: str, length: int, end: int, most: int):
+    """_pieces and, over about TOGETHER of them, _units: in one worker, as a second one beside it takes memory of its own."""
+    import pyarrow as pa
+
+    cut, group, held = _pieces(path, length, end), _units(most), []
+
+    def rest():
+        if not held:
+            return None
+        whole = {c: [x for some in held for x in some[c]] for c in PIECE}
+        held.clear()
+        return group(pa.RecordBatch.from_pydict(whole, schema=pa.schema(zip(PIECE, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())))))
+
+    def step(batch):
+        held.append(cut(batch))
+        return rest() if sum(len(x["doc_id"]) for x in held) >= TOGETHER else None
+
+    step.rest = rest
+    return step
+
+
 def matched(kinds):
     """For rows in sweep order, gaps (0) and units (1): places of the gaps and of the units that they get. A unit gets
     the nearest gap before it that is still free.
@@ -310,9 +335,9 @@ def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, length:
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     tables = Tables(spark, "packing")
-    pieces = per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id", "text"], schema, _pieces, path or vocabulary(), length, end)
     grouped = schema + ", unit long, size long, within long, lead boolean"
-    rows = tables.put(per_batch(pieces, list(PIECE), grouped, _units, max(1, length // SHARES[0])))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = tables.put(per_batch(texts, ["doc_id", "text"], grouped, _pieces_in_units, path or vocabulary(), length, end, max(1, length // SHARES[0])))
     at = lambda seq, offset: [*PIECE, seq.alias("sequence_id"), offset.alias("offset")]
     out = rows.where(F.col("length") == length).select(*at(-1 - F.col("unit"), F.lit(0).cast("long")))
     left = rows.where(F.col("length") < length)

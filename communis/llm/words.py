@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 
+#: Bytes of text that are split into words at once: their list takes about three times as many, their codes half as many.
+SLICE = 1 << 20
+
+
 def encode_words(texts, split: str = "utf8", lower: str = "utf8", most: int = 8 << 20):
     """Parts of an Arrow array of strings: for each, (dictionary of its distinct words, codes of its words in order, and
-    where each text's words end). A part holds about `most` bytes of text, or one longer text.
+    where each text's words end). A part holds about `most` bytes of text, or one longer text; it is split into words a
+    slice at a time, so that its codes are all that it takes as a whole.
 
     Words are what stands between blanks (all of Unicode's, or with split="ascii" the six of ASCII), in lower case (of
     all letters, or with lower="ascii" of A-Z; with lower="" as they are).
@@ -16,22 +21,27 @@ def encode_words(texts, split: str = "utf8", lower: str = "utf8", most: int = 8
 
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    guard = pa.array(["."], pa.large_string())  # after a blank, Arrow's splitter looks at the next byte, past the last text's end
     at = 0
     while at < len(texts):
         end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
-        part = texts[at:end]
-        if lower:
-            part = (pc.utf8_lower if lower == "utf8" else pc.ascii_lower)(part)
-        lists = (pc.utf8_split_whitespace if split == "utf8" else pc.ascii_split_whitespace)(part)
-        words = lists.flatten()
-        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-        real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # blanks at either end give empty words
-        if not real.all():
-            ends = np.r_[0, np.cumsum(real)][ends]
-            words = words.filter(pa.array(real))
-        coded = words.dictionary_encode()
-        yield coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), ends
-        at = end
+        coded, counts = [], []
+        while at < end:
+            to = min(end, max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, "right"))))
+            part = pa.concat_arrays([texts[at:to], guard])
+            if lower:
+                part = (pc.utf8_lower if lower == "utf8" else pc.ascii_lower)(part)
+            lists = (pc.utf8_split_whitespace if split == "utf8" else pc.ascii_split_whitespace)(part)[:-1]
+            words, n = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # blanks at either end give empty words
+            if not real.all():
+                n = np.diff(np.r_[0, np.cumsum(real)][np.r_[0, np.cumsum(n)]])
+                words = words.filter(pa.array(real))
+            coded.append(words.dictionary_encode())
+            counts.append(n)
+            at = to
+        coded = pa.chunked_array(coded).unify_dictionaries().chunks
+        yield coded[0].dictionary, np.concatenate([x.indices.to_numpy(zero_copy_only=False) for x in coded]), np.cumsum(np.concatenate(counts))
 
 
 class Lists:

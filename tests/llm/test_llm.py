@@ -828,3 +828,52 @@ def test_pipeline_from_end_to_end(spark, tmp_path):
     assert "<EMAIL>" in pii.masked(texts[1]) and 123 not in stay
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(tuple(x)[:5] for x in rows) == want
+
+
+def test_words_of_texts_that_end_in_blanks(monkeypatch):
+    from communis.llm import words
+
+    r = random.Random(1)
+    kinds = [None, "", " ", "  ", "q ", " q", "zz\n", "a b", "ÀB c\n", " ", "x" * 50]
+    for slice_ in (1, 7, 1 << 20):
+        monkeypatch.setattr(words, "SLICE", slice_)
+        for _ in range(700):
+            texts = [r.choice(kinds) for _ in range(r.randint(1, 6))]
+            found = []
+            for w, codes, ends in words.encode_words(pa.array(texts, pa.string()), most=r.choice([1, 20, 8 << 20])):
+                found += [[w[int(k)].as_py() for k in codes[a:b]] for a, b in zip([0, *ends[:-1]], ends)]
+            assert found == [(t or "").lower().split() for t in texts]
+
+
+def test_working_memory_of_a_batch_stays_a_few_times_its_size():
+    import tracemalloc
+
+    from communis.llm.words import encode_words
+
+    r = random.Random(2)
+    texts = [sentence(r, 600) for _ in range(2400)]
+    array = pa.array(texts)
+    size = array.nbytes
+    assert size > 6 << 20
+    before, pool = pa.default_memory_pool(), pa.proxy_memory_pool(pa.default_memory_pool())
+    pa.set_memory_pool(pool)
+    try:
+        for _ in encode_words(array):
+            pass
+    finally:
+        pa.set_memory_pool(before)
+    assert pool.max_memory() < 3 * size
+    for work in (lambda: simhash.shingle_bins(array, 5), lambda: simhash._bands(5, 69)(pa.RecordBatch.from_pydict({"node": range(len(texts)), "text": array})), lambda: simhash.fingerprints64(texts)):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 5 * size
+
+
+def test_packing_cuts_and_groups_in_one_worker(spark, texts, monkeypatch):
+    passes = []
+    put = Tables.put
+    monkeypatch.setattr(packing.Tables, "put", lambda self, df: passes.append(df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")) or put(self, df))
+    assert packing.pack(spark, docs_of(spark, texts)).count() >= len(texts)
+    assert passes[0] == 1
