@@ -39,59 +39,97 @@ class Encoder:
     """Token ids of texts by a tokenizer that drops white space and keeps A-Z as a-z, so that what stands between ASCII
     blanks can be encoded once for all places.
 
-    Words of letters, with a full stop or comma after them or not, go to the tokenizer's model directly, in the form
-    that its normaliser and pre-tokenizer give them; all others take the whole way."""
+    Words of Latin letters, with a full stop or comma after them or not, go to the tokenizer's model directly, many at
+    once and in the form that its normaliser and pre-tokenizer give them; all others take the whole way."""
 
     def __init__(self, path: str, most: int = 150_000) -> None:
         import os
+        import unicodedata
+
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.model = self.tokenizer.model
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.closes[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.letters = {b: level.pre_tokenize_str(bytes([b]).decode())[0][0] for b in range(97, 123)}
-        for c in map(chr, range(0x80, 0x250)):  # the bytes of Latin letters
-            raw = c.encode("utf-8")
-            self.letters.update(zip(raw, level.pre_tokenize_str(c)[0][0]))
-        self.known: dict[str, list] = {}
+        self.letters = np.arange(256, dtype="<u4")  # the byte-level letter of each byte of a Latin letter
+        self.latin = np.zeros(0x250, bool)
+        chars = [chr(c) for c in range(0x250)]
+        for c, low in zip(chars, pc.utf8_lower(pa.array(chars)).to_pylist()):
+            if c.isalpha() and low == c.lower() and len(low) == 1 and low < "\u0250" and unicodedata.is_normalized("NFC", c):
+                self.latin[ord(c)] = True
+                self.letters[list(low.encode("utf-8"))] = list(map(ord, level.pre_tokenize_str(low)[0][0]))
         self.marks = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,"}
+        self.known, self.known_ids = pa.array([], pa.large_string()), Lists([])
 
-    def plain(self, word: str) -> list | None:
-        """Ids of a word of Latin letters, else None."""
-        import unicodedata
+    def plain(self, words):
+        """Of an Arrow array of words: which are Latin letters but for a mark at the end, and their last bytes if that is a mark, else 0."""
+        import numpy as np
+
+        at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        at = at - at[0]
+        bad = ~np.append(self.latin[:128], np.zeros(128, bool))[data]
+        lead = np.flatnonzero((data >= 0xC2) & (data <= 0xC9))  # of U+0080 to U+024F and a little more
+        code = ((data[lead].astype(np.int64) & 31) << 6) | (data[lead + 1] & 63)
+        lead = lead[np.append(self.latin, np.zeros(0x280 - 0x250, bool))[code]]
+        bad[lead] = bad[lead + 1] = False
+        bad = np.r_[0, np.cumsum(bad)]
+        last = data[at[1:] - 1]
+        mark = np.where(((last == 46) | (last == 44)) & (np.diff(at) > 1), last, 0)
+        return bad[at[1:]] - bad[at[:-1]] == (mark > 0), mark
+
+    def letters_only(self, words):
+        """Lists of the ids of an Arrow array of lower-case words of Latin letters."""
+        import numpy as np
+
+        flat, ends = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        encode = getattr(self.bare, "encode_batch_fast", self.bare.encode_batch)
+        for lo in range(0, len(words), 5000):
+            raw = np.frombuffer(" ".join(words[lo : lo + 5000].to_pylist()).encode("utf-8"), np.uint8)
+            ids = np.array(encode([self.letters[raw].tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids, np.int32)
+            ends.append(np.flatnonzero(self.closes[ids]) + 1 + sum(map(len, flat)))
+            flat.append(ids)
+        ends = np.concatenate(ends)
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer's model doesn't tell where words end")
+        return Lists.of_sizes(np.concatenate(flat), np.diff(ends, prepend=0))
+
+    def lists(self, words):
+        """Lists of the ids of an Arrow array of words, none empty or null."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-        if not word.isalpha():
-            return None
-        if not word.isascii():
-            if "\u0130" in word or max(word) >= "\u0250" or not unicodedata.is_normalized("NFC", word):
-                return None
-            word = word.lower().encode("utf-8").decode("latin-1")
-        else:
-            word = word.lower()
-        ids = self.known.get(word)
-        if ids is None:
-            ids = self.known[word] = [x.id for x in self.model.tokenize(word.translate(self.letters))]
-        return ids
-
-    def lists(self, words: list[str]) -> list[list]:
         if len(self.known) > self.most:
-            self.known.clear()
-        out, rest = [], []
-        for w in words:
-            ids = self.plain(w)
-            if ids is None and w[-1] in self.marks and len(w) > 1 and (ids := self.plain(w[:-1])) is not None:
-                ids = ids + self.marks[w[-1]]
-            if ids is None:
-                rest.append(len(out))
-            out.append(ids)
+            self.known, self.known_ids = self.known[:0], Lists([])
+        plain, mark = self.plain(words)
+        bases = pc.utf8_lower(pc.ascii_rtrim(words.filter(pa.array(plain)), characters=".,")).dictionary_encode()
+        fresh = bases.dictionary.filter(pc.invert(pc.is_in(bases.dictionary, value_set=self.known)))
+        self.known = pa.concat_arrays([self.known, fresh])
+        self.known_ids = self.known_ids.then(self.letters_only(fresh))
+        rest = words.filter(pa.array(~plain)).to_pylist()
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for lo in range(0, len(rest), 5000):
-            some = rest[lo : lo + 5000]
-            for i, x in zip(some, encode([words[i] for i in some], add_special_tokens=False)):
-                out[i] = x.ids
-        return out
+        whole = [x.ids for lo in range(0, len(rest), 5000) for x in encode(rest[lo : lo + 5000], add_special_tokens=False)]
+        # each word is one or two of these: what is known, the marks, the rest
+        units = self.known_ids.then(Lists([self.marks["."], self.marks[","], *whole]))
+        marked = plain & (mark > 0)
+        ends = np.cumsum(1 + marked)
+        code = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+        first = ends - 1 - marked
+        code[first[plain]] = pc.index_in(bases.dictionary, value_set=self.known).to_numpy(zero_copy_only=False)[bases.indices.to_numpy(zero_copy_only=False)]
+        code[first[~plain]] = len(self.known) + 2 + np.arange(len(rest))
+        code[ends[marked] - 1] = len(self.known) + (mark[marked] == 44)
+        flat, done = units.of(code, ends)
+        return Lists.of_sizes(flat, np.diff(done, prepend=0))
 
     def __call__(self, texts):
         """Yields the ids of each string of an Arrow array."""
@@ -99,9 +137,9 @@ class Encoder:
 
         import numpy as np
 
-        special = pc.any(pc.match_substring(texts, "<|")).as_py()  # special tokens are told by their case
+        special = pc.any(pc.match_substring_regex(texts, r"<\||[A-Z]\pM")).as_py()  # special tokens are told by their case; w and a ring are one letter, W and a ring are two
         for words, codes, ends in encode_words(texts, split="ascii", lower="" if special else "ascii", most=8 << 20):
-            lists = Lists(self.lists(words.to_pylist()))
+            lists = self.lists(words)
             parts = np.searchsorted(ends, np.arange(PART, ends[-1] if len(ends) else 0, PART))  # texts of about PART words
             for lo, hi in zip(np.r_[0, parts], np.r_[parts, len(ends)]):
                 first = int(ends[lo - 1]) if lo else 0
@@ -284,11 +322,15 @@ def _meeting(segments: list):
 SWEPT = "part int, rank long, unit long, size long, seq long, gap long"
 
 
+def _both(units: DataFrame, gaps: DataFrame) -> DataFrame:
+    return units.select(F.lit(1).alias("kind"), "size", F.col("unit").alias("id")).unionByName(gaps.select(F.lit(0).alias("kind"), F.col("gap").alias("size"), F.col("seq").alias("id")))
+
+
 def sweep_round(tables: Tables, units: DataFrame, gaps: DataFrame, parts: int) -> tuple[DataFrame, int]:
     """One round: ((unit, size, seq, gap), number matched). Matched rows have both; of the others unit or seq is null.
 
     units (unit, size), gaps (seq, gap). What goes through the driver is two numbers for each of the `parts` ranges."""
-    both = units.select(F.lit(1).alias("kind"), "size", F.col("unit").alias("id")).unionByName(gaps.select(F.lit(0).alias("kind"), F.col("gap").alias("size"), F.col("seq").alias("id")))
+    both = _both(units, gaps)
     order = [F.desc("size"), "kind", "id"]
     swept = tables.put(per_batch(both.repartitionByRange(parts, *order).sortWithinPartitions(*order), ["kind", "size", "id"], SWEPT, _sweep))
     unit, gap = F.col("unit").isNotNull(), F.col("seq").isNotNull()
@@ -304,19 +346,59 @@ def sweep_round(tables: Tables, units: DataFrame, gaps: DataFrame, parts: int) -
     return made, here + across
 
 
+def _all_rounds(length: int):
+    """Rows (kind, size, id) of gaps (0) and units (1) to (unit, seq, offset, gap): units with their places, and the gaps
+    that no unit left over fits (unit null). The rounds of _fill, each of one range."""
+    import numpy as np
+    import pyarrow as pa
+
+    held = [np.zeros((0, 3), np.int64)]
+
+    def step(batch):
+        held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("kind", "size", "id")], 1))
+
+    def rest():
+        rows, placed = np.concatenate(held), []
+        while True:
+            kind, size, id_ = rows[np.lexsort((rows[:, 2], rows[:, 0], -rows[:, 1]))].T
+            gaps, units = matched(kind)
+            if not len(gaps):
+                break
+            placed.append(np.stack([id_[units], id_[gaps], length - size[gaps]], 1))
+            size[gaps] -= size[units]
+            keep = size > 0
+            keep[units] = False
+            rows = np.stack([kind, size, id_], 1)[keep]
+        placed, free = np.concatenate([np.zeros((0, 3), np.int64), *placed]), rows[rows[:, 0] == 0]
+        known = lambda x, before, after: pa.array(np.r_[np.zeros(before, np.int64), x, np.zeros(after, np.int64)], mask=np.r_[np.ones(before, bool), np.zeros(len(x), bool), np.ones(after, bool)])
+        n, m = len(placed), len(free)
+        return pa.Table.from_pydict({"unit": known(placed[:, 0], 0, m), "seq": np.r_[placed[:, 1], free[:, 2]], "offset": known(placed[:, 2], 0, m), "gap": known(free[:, 1], n, 0)})
+
+    step.rest = rest
+    return step
+
+
 def _fill(tables: Tables, units: DataFrame, gaps: DataFrame, n: int, length: int, range_: int) -> tuple[list[DataFrame], DataFrame, int]:
-    """Rounds until all of the n units have a place or none fits: (placements (unit, seq, offset), gaps, units left)."""
+    """Rounds until all of the n units have a place or none fits: (placements (unit, seq, offset), gaps, units left).
+
+    Once units and gaps are one range, the rounds that are left take place in one task, with the same rows."""
     placed = []
     pair = F.col("unit").isNotNull() & F.col("seq").isNotNull()
     at_most = int(tables.spark.conf.get("spark.sql.shuffle.partitions"))
-    least, (most, open_) = units.agg(F.min("size")).first()[0], gaps.agg(F.max("gap"), F.count(F.lit(1))).first()
+    of = lambda kind, x: F.when(F.col("kind") == kind, x)
+    least, most, open_ = _both(units, gaps).agg(F.min(of(1, F.col("size"))), F.max(of(0, F.col("size"))), F.count(of(0, F.lit(1)))).first()
     while n and most is not None and least <= most:
+        if n + open_ <= range_:
+            made = tables.put(per_batch(_both(units, gaps).repartition(1), ["kind", "size", "id"], "unit long, seq long, offset long, gap long", _all_rounds, length))
+            found = made.agg(F.count("unit")).first()[0]
+            placed.append(made.where("unit IS NOT NULL").select("unit", "seq", "offset"))
+            return placed, made.where("unit IS NULL").select("seq", "gap"), n - found
         made, found = sweep_round(tables, units, gaps, max(1, min(at_most, -(-(n + open_) // range_))))
         made = tables.put(made)
         room = F.when(pair, F.col("gap") - F.col("size")).otherwise(F.col("gap"))
         placed.append(made.where(pair).select("unit", "seq", (F.lit(length) - F.col("gap")).alias("offset")))
         units, n = made.where("seq IS NULL").select("unit", "size"), n - found
-        least, most = made.agg(F.min(F.when(F.col("seq").isNull(), F.col("size"))), F.max(F.when(F.col("seq").isNotNull(), room))).first()
+        least, most, open_ = made.agg(F.min(F.when(F.col("seq").isNull(), F.col("size"))), F.max(F.when(F.col("seq").isNotNull(), room)), F.count_if(F.col("seq").isNotNull() & (room > 0))).first()
         gaps = made.where("seq IS NOT NULL").select("seq", room.alias("gap")).where("gap > 0")
     return placed, gaps, n
 

@@ -52,10 +52,28 @@ class Lists:
 
         import numpy as np
 
-        self.size = np.fromiter(map(len, lists), np.int32, len(lists))
-        self.flat = np.fromiter(chain.from_iterable(lists), np.int32, int(self.size.sum()))
+        size = np.fromiter(map(len, lists), np.int32, len(lists))
+        self._set(np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum())), size)
+
+    def _set(self, flat, size) -> None:
+        import numpy as np
+
+        self.size, self.flat = size.astype(np.int32), flat
         self.begin = np.cumsum(self.size, dtype=np.int64) - self.size
 
+    @classmethod
+    def of_sizes(cls, flat, size) -> Lists:
+        """Lists that stand end to end in flat, by their sizes."""
+        out = cls.__new__(cls)
+        out._set(flat, size)
+        return out
+
+    def then(self, other: Lists) -> Lists:
+        """These lists, and the other ones after them."""
+        import numpy as np
+
+        return self.of_sizes(np.r_[self.flat, other.flat], np.r_[self.size, other.size])
+
     def of(self, codes, ends):
         """What the words at `codes` stand for, end to end, and where each text's numbers end."""
         import numpy as np

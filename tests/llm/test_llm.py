@@ -877,3 +877,61 @@ def test_packing_cuts_and_groups_in_one_worker(spark, texts, monkeypatch):
     monkeypatch.setattr(packing.Tables, "put", lambda self, df: passes.append(df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")) or put(self, df))
     assert packing.pack(spark, docs_of(spark, texts)).count() >= len(texts)
     assert passes[0] == 1
+
+
+def test_packing_of_one_range_takes_its_rounds_in_one_task(spark, monkeypatch):
+    rng = random.Random(6)
+    docs = docs_of(spark, ["the " * rng.randint(0, 62) for _ in range(300)])
+    rounds = []
+    by_table = packing.sweep_round
+    monkeypatch.setattr(packing, "sweep_round", lambda *x: rounds.append(x[-1]) or by_table(*x))
+    few = packing.pack(spark, docs, length=64).collect()
+    assert not rounds
+    many = packing.pack(spark, docs, length=64, range_=40).collect()
+    assert rounds and sorted(r[:5] for r in few) == sorted(r[:5] for r in many)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rounds_in_one_task_give_the_rows_of_rounds_by_table(spark, seed):
+    rng = random.Random(seed)
+    units = spark.createDataFrame([(i, rng.choice([9, rng.randint(1, 64)])) for i in range(150)], "unit long, size long")
+    gaps = spark.createDataFrame([(i, rng.choice([64, 64, rng.randint(1, 64)])) for i in range([40, 90, 1][seed])], "seq long, gap long")
+    found = []
+    for range_ in (1 << 16, 100, 20):  # all in one task, the last rounds, few or none
+        placed, free, n = packing._fill(Tables(spark, "test"), units, gaps, 150, 64, range_)
+        found.append((sorted(tuple(r) for p in placed for r in p.select("unit", "seq", "offset").collect()), sorted(tuple(r) for r in free.select("seq", "gap").collect()), n))
+    assert found[0] == found[1] == found[2] and len(found[0][0]) == 150 - found[0][2]
+
+
+def test_encoder_takes_words_of_letters_together():
+    import sys
+
+    from tokenizers import Tokenizer
+
+    r = random.Random(7)
+    words = ["".join(r.choice("abcdeéößÀĳSTUVWXYZ") for _ in range(r.randint(1, 9))) + r.choice(["", "", ".", ","]) for _ in range(6000)]
+    encoder = packing.Encoder(packing.vocabulary(), most=2500)
+    calls = [0]
+
+    def count(frame, event, arg):
+        calls[0] += event == "call"
+
+    texts = [" ".join(words[i : i + 2000]) for i in range(0, 6000, 2000)]
+    sys.setprofile(count)
+    try:
+        got = [x.tolist() for t in texts for x in encoder(pa.array([t]))]
+    finally:
+        sys.setprofile(None)
+    assert calls[0] < 2000
+    tok = Tokenizer.from_file(packing.vocabulary())
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_encoder_composes_before_it_lowers():
+    """W and a ring are two letters, w and a ring are one; the tokenizer composes first."""
+    from tokenizers import Tokenizer
+
+    odd = ["W\u030a w\u030a J\u030c, Y\u030a. H\u0331a T\u0308 E\u0301", ". , .. ,, a. b, a., a.b É. ª º \u1e9e ß. ǅ Ⱥ, \u0250. x\u0250"]
+    tok = Tokenizer.from_file(packing.vocabulary())
+    for some in (odd, odd[1:]):
+        assert [x.tolist() for x in packing.Encoder(packing.vocabulary())(pa.array(some))] == [tok.encode(t, add_special_tokens=False).ids for t in some]
