@@ -39,10 +39,11 @@ class Encoder:
     """Token ids of texts by a tokenizer that drops white space and keeps A-Z as a-z, so that what stands between ASCII
     blanks can be encoded once for all places.
 
-    Words of Latin letters, with a full stop or comma after them or not, go to the tokenizer's model directly, many at
-    once and in the form that its normaliser and pre-tokenizer give them; all others take the whole way."""
+    Words of Latin letters, with ASCII punctuation after them or not, go to the tokenizer's model directly, many at
+    once and in the form that its normaliser and pre-tokenizer give them, and the punctuation of many words once; all
+    others take the whole way. Texts and batches for the tokenizer are short, as long ones take it twice the time."""
 
-    def __init__(self, path: str, most: int = 150_000) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
         import os
         import unicodedata
 
@@ -67,67 +68,83 @@ class Encoder:
             if c.isalpha() and low == c.lower() and len(low) == 1 and low < "\u0250" and unicodedata.is_normalized("NFC", c):
                 self.latin[ord(c)] = True
                 self.letters[list(low.encode("utf-8"))] = list(map(ord, level.pre_tokenize_str(low)[0][0]))
-        self.marks = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,"}
+        self.alphabet = "".join(c for c in chars if self.latin[ord(c)])
         self.known, self.known_ids = pa.array([], pa.large_string()), Lists([])
 
     def plain(self, words):
-        """Of an Arrow array of words: which are Latin letters but for a mark at the end, and their last bytes if that is a mark, else 0."""
+        """Of an Arrow array of words: which are Latin letters, one at least, and then ASCII punctuation, and how much of it."""
+        import string
+
         import numpy as np
 
         at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
         data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
         at = at - at[0]
-        bad = ~np.append(self.latin[:128], np.zeros(128, bool))[data]
+        kind = np.full(256, 2, np.int8)  # letters 0, punctuation 1, others 2
+        kind[list(string.punctuation.encode())] = 1
+        kind[:128][self.latin[:128]] = 0
+        kind = kind[data]
         lead = np.flatnonzero((data >= 0xC2) & (data <= 0xC9))  # of U+0080 to U+024F and a little more
         code = ((data[lead].astype(np.int64) & 31) << 6) | (data[lead + 1] & 63)
         lead = lead[np.append(self.latin, np.zeros(0x280 - 0x250, bool))[code]]
-        bad[lead] = bad[lead + 1] = False
-        bad = np.r_[0, np.cumsum(bad)]
-        last = data[at[1:] - 1]
-        mark = np.where(((last == 46) | (last == 44)) & (np.diff(at) > 1), last, 0)
-        return bad[at[1:]] - bad[at[:-1]] == (mark > 0), mark
+        kind[lead] = kind[lead + 1] = 0
+        odd, marks = (np.r_[0, np.cumsum(kind == k)] for k in (2, 1))
+        begin, end = at[:-1], at[1:]
+        n = marks[end] - marks[begin]
+        return (odd[end] == odd[begin]) & (n < end - begin) & (marks[end] - marks[end - n] == n), n
 
     def letters_only(self, words):
         """Lists of the ids of an Arrow array of lower-case words of Latin letters."""
         import numpy as np
 
-        flat, ends = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        flat = []
         encode = getattr(self.bare, "encode_batch_fast", self.bare.encode_batch)
         for lo in range(0, len(words), 5000):
-            raw = np.frombuffer(" ".join(words[lo : lo + 5000].to_pylist()).encode("utf-8"), np.uint8)
-            ids = np.array(encode([self.letters[raw].tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids, np.int32)
-            ends.append(np.flatnonzero(self.closes[ids]) + 1 + sum(map(len, flat)))
-            flat.append(ids)
-        ends = np.concatenate(ends)
+            some = words[lo : lo + 5000].to_pylist()
+            raw = np.frombuffer("\n".join(" ".join(some[i : i + 100]) for i in range(0, len(some), 100)).encode("utf-8"), np.uint8)
+            for x in encode(self.letters[raw].tobytes().decode("utf-32-le").split("\n"), add_special_tokens=False):
+                flat.append(np.array(x.ids, np.int32))
+        flat = np.concatenate([np.zeros(0, np.int32), *flat])
+        ends = np.flatnonzero(self.closes[flat]) + 1
         if len(ends) != len(words):
             raise ValueError("the tokenizer's model doesn't tell where words end")
-        return Lists.of_sizes(np.concatenate(flat), np.diff(ends, prepend=0))
+        return Lists.of_sizes(flat, np.diff(ends, prepend=0))
+
+    def whole(self, words: list[str]) -> list[list]:
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        return [x.ids for lo in range(0, len(words), 200) for x in encode(words[lo : lo + 200], add_special_tokens=False)]
 
     def lists(self, words):
         """Lists of the ids of an Arrow array of words, none empty or null."""
+        import string
+
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        def numbers(x):
+            return x.to_numpy(zero_copy_only=False)
+
         if len(self.known) > self.most:
             self.known, self.known_ids = self.known[:0], Lists([])
-        plain, mark = self.plain(words)
-        bases = pc.utf8_lower(pc.ascii_rtrim(words.filter(pa.array(plain)), characters=".,")).dictionary_encode()
-        fresh = bases.dictionary.filter(pc.invert(pc.is_in(bases.dictionary, value_set=self.known)))
+        plain, marks = self.plain(words)
+        marked = plain & (marks > 0)
+        bases = pc.utf8_lower(pc.ascii_rtrim(words.filter(pa.array(plain)), characters=string.punctuation)).dictionary_encode()
+        tails = pc.utf8_ltrim(words.filter(pa.array(marked)), characters=self.alphabet).dictionary_encode()
+        rest = words.filter(pa.array(~plain)).to_pylist()
+        place = numbers(pc.fill_null(pc.index_in(bases.dictionary, value_set=self.known), -1)).astype(np.int64)
+        fresh = bases.dictionary.filter(pa.array(place < 0))
+        place[place < 0] = len(self.known) + np.arange(len(fresh))
         self.known = pa.concat_arrays([self.known, fresh])
         self.known_ids = self.known_ids.then(self.letters_only(fresh))
-        rest = words.filter(pa.array(~plain)).to_pylist()
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        whole = [x.ids for lo in range(0, len(rest), 5000) for x in encode(rest[lo : lo + 5000], add_special_tokens=False)]
-        # each word is one or two of these: what is known, the marks, the rest
-        units = self.known_ids.then(Lists([self.marks["."], self.marks[","], *whole]))
-        marked = plain & (mark > 0)
+        # each word is one or two of these: known letters, punctuation, the rest
+        units = self.known_ids.then(Lists(self.whole([*tails.dictionary.to_pylist(), *rest])))
         ends = np.cumsum(1 + marked)
         code = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
         first = ends - 1 - marked
-        code[first[plain]] = pc.index_in(bases.dictionary, value_set=self.known).to_numpy(zero_copy_only=False)[bases.indices.to_numpy(zero_copy_only=False)]
-        code[first[~plain]] = len(self.known) + 2 + np.arange(len(rest))
-        code[ends[marked] - 1] = len(self.known) + (mark[marked] == 44)
+        code[first[plain]] = place[numbers(bases.indices)]
+        code[ends[marked] - 1] = len(self.known) + numbers(tails.indices)
+        code[first[~plain]] = len(self.known) + len(tails.dictionary) + np.arange(len(rest))
         flat, done = units.of(code, ends)
         return Lists.of_sizes(flat, np.diff(done, prepend=0))
 
