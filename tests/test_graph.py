@@ -159,6 +159,105 @@ def test_dependencies_of_more_paths_than_doubles_hold():
     assert np.allclose(found, [i * (299 - i) for i in range(300)])
 
 
+def in_edge_order(pairs, n):
+    """(offset, dst, ways) of pairs, repeated ones as parallel edges."""
+    import numpy as np
+
+    ways = Counter(pairs)
+    pairs = sorted(ways)
+    return np.searchsorted([a for a, _ in pairs], np.arange(n + 1)), np.array([b for _, b in pairs]), np.array([float(ways[x]) for x in pairs])
+
+
+def plain_dependencies(pairs, n, sources):
+    """By whole numbers of paths, one source after another."""
+    to, total = defaultdict(list), [0.0] * n
+    for a, b in pairs:
+        to[a].append(b)
+    for s in sources:
+        dist, sigma, queue = {s: 0}, Counter({s: 1}), [s]
+        for v in queue:
+            for w in to[v]:
+                if w not in dist:
+                    dist[w] = dist[v] + 1
+                    queue.append(w)
+                if dist[w] == dist[v] + 1:
+                    sigma[w] += sigma[v]
+        delta = Counter()
+        for v in reversed(queue):
+            delta[v] = sum(sigma[v] / sigma[w] * (1 + delta[w]) for w in to[v] if dist[w] == dist[v] + 1)
+            total[v] += delta[v] if v != s else 0
+    return total
+
+
+def with_chains(r, nodes, edges, longest):
+    """(pairs, n): random pairs, loops and repeated ones too, of which each node is a chain of up to `longest`, with parallel
+    edges; and a ring and a chain apart."""
+    lengths = [r.randint(1, longest) for _ in range(nodes)]
+    first = [sum(lengths[:i]) for i in range(nodes + 1)]
+    pairs = [(first[a + 1] - 1, first[b]) for a, b in ((r.randrange(nodes), r.randrange(nodes)) for _ in range(edges))]
+    pairs += [(i, i + 1) for a in range(nodes) for i in range(first[a], first[a + 1] - 1) for _ in range(r.randint(1, 3))]
+    n = first[-1]
+    pairs += [(n + i, n + (i + 1) % 5) for i in range(5)] + [(n + 5, n + 6), (n + 6, n + 7)]
+    order = r.sample(range(n + 8), n + 8)
+    return [(order[a], order[b]) for a, b in pairs], n + 8
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_dependencies_of_graphs_with_chains(monkeypatch, small):
+    """Folded chains, also such that paths come back to, rings, parts; all sources, some, and repeated ones."""
+    import numpy as np
+
+    from communis.operators import folding
+
+    if small:
+        monkeypatch.setattr(centrality, "STATE", 64)
+        monkeypatch.setattr(centrality, "STEP", 3)
+        monkeypatch.setattr(folding, "BLOCK", 4)
+    r = random.Random(11)
+    for edges, longest in ((3, 5), (8, 4), (14, 1), (14, 6), (40, 3), (70, 2)):
+        pairs, n = with_chains(r, 10, edges, longest)
+        for sources in (range(n), r.sample(range(n), n // 2), [r.randrange(n) for _ in range(n)]):
+            found = centrality.dependencies(*in_edge_order(pairs, n), np.array(sources))
+            assert np.allclose(found, plain_dependencies(pairs, n, sources), rtol=1e-12, atol=1e-12)
+
+
+def test_dependencies_follow_few_edges(monkeypatch):
+    """Sources of one chain share a search, and a level's edges are followed from the side that has fewer."""
+    import numpy as np
+
+    followed, expand = [0], centrality._expand
+
+    def counted(*how):
+        for found in expand(*how):
+            followed[0] += len(found[2])
+            yield found
+
+    monkeypatch.setattr(centrality, "_expand", counted)
+    r = random.Random(4)
+    base = [(r.randrange(40), r.randrange(40)) for _ in range(160)]
+    chains = [(a * 20 + 19, b * 20) for a, b in base] + [(i, i + 1) for i in range(800) if i % 20 != 19]
+    dense = [(r.randrange(300), r.randrange(300)) for _ in range(9000)]
+    for pairs, n, most in ((chains, 800, 0.15), (dense, 300, 0.6)):
+        followed[0] = 0
+        graph = in_edge_order(pairs, n)
+        found = centrality.dependencies(*graph, np.arange(n))
+        assert np.allclose(found, plain_dependencies(pairs, n, range(n)), rtol=1e-9)
+        assert 0 < followed[0] < most * n * len(graph[1])  # twice that is each edge in both directions for each source
+
+
+def test_few_paths_beside_very_many():
+    """Two ways of 300 nodes from one to another, each with a leaf: 1e600 shortest paths on one, a single one on the other."""
+    import numpy as np
+
+    m = 300
+    lane = lambda at: [(at + i, at + i + 1) for i in range(m - 1)] + [(at + i, at + m + i) for i in range(m)]
+    n = 4 * m + 2
+    pairs = lane(0) * 100 + lane(2 * m) + [(n - 2, 0), (n - 2, 2 * m), (m - 1, n - 1), (3 * m - 1, n - 1)]
+    found = centrality.dependencies(*in_edge_order(pairs, n), np.array([n - 2]))
+    after = 2 * (m - np.arange(m)) - 1
+    assert np.allclose(found[:m], after + 1) and np.allclose(found[2 * m : 3 * m], after)
+
+
 def test_primitives(spark):
     t = Tables(spark, "test")
     n = spark.range(1500).selectExpr("id", "1L AS one")
