@@ -159,6 +159,23 @@ def test_dependencies_of_more_paths_than_doubles_hold():
     assert np.allclose(found, [i * (299 - i) for i in range(300)])
 
 
+def test_betweenness_of_parts_takes_joins_for_large_ones_alone(spark, monkeypatch):
+    """Graphs of more pairs than tasks get as arrays: small parts go as arrays in groups, a loop and a part of one pair too."""
+    joined, by_joins = [], centrality._by_joins
+    monkeypatch.setattr(centrality, "_by_joins", lambda graph, ways, *how: joined.append(ways.count()) or by_joins(graph, ways, *how))
+    r = random.Random(8)
+    large = [(f"a{r.randrange(14)}", f"a{r.randrange(14)}") for _ in range(90)]
+    small = [(f"{k}{r.randrange(6)}", f"{k}{r.randrange(6)}") for k in "bcdefgh" for _ in range(12)] + [("x", "x"), ("y", "z")]
+    for pairs, most in ((small, 62), (small + large, 72)):
+        x = make(spark, pairs, both=False)
+        ids = {row["name"]: row["id"] for row in x.nodes.collect()}
+        assert len(ids) <= most < len(set(pairs))
+        want = plain_dependencies([(ids[a], ids[b]) for a, b in pairs], len(ids), range(len(ids)))
+        found = {row["id"]: row["centrality"] for row in centrality.betweenness(x, halve=False, batch=50, most_pairs=most).collect()}
+        assert len(found) == len(ids) and all(math.isclose(found[i], want[i], abs_tol=1e-9) for i in found) and any(want)
+        assert sum(joined) == (len(set(large)) if pairs is not small else 0)
+
+
 def in_edge_order(pairs, n):
     """(offset, dst, ways) of pairs, repeated ones as parallel edges."""
     import numpy as np
